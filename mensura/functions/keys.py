@@ -25,6 +25,9 @@ LATIN = (
     "0123456789"
 )
 
+#: Unicode's white space and zero-width characters.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
+
 # What stands for a missing value in a text field.
 MISSING = ("", "nan", "na", "n/a", "none", "null", "-", "–", "—", "<na>")
 
@@ -38,7 +41,7 @@ def unify(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without outer white space of any kind and zero-width characters."""
-    return F.regexp_replace(text, r"(?U)^[\s\u200B-\u200D\u2060\uFEFF]+|[\s\u200B-\u200D\u2060\uFEFF]+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def name_key(text: Column) -> Column:
