@@ -31,8 +31,8 @@ def measurement_groups(spark: SparkSession, folder: str) -> Groups:
     names = variable_names(table(spark, folder, "variable_guide"))
     trust = {r.relation_method: r.trust for r in table(spark, folder, "relation_methods").where("relation_method is not null and trust is not null").limit(100).collect()}
     rows = table(spark, folder, "extended_with_ocr")
-    same = lambda c: F.when(filled(F.col(c)), F.lower(strip(F.col(c))))
-    fields = {c: same(c) for c in FIELDS} | {"value": F.when(filled(F.col("value")), F.coalesce(quantity(F.col("value")).cast("string"), F.lower(strip(F.col("value")))))}
+    text = lambda c: F.lower(strip(F.col(c)))
+    fields = {c: (filled(F.col(c)), F.coalesce(quantity(F.col(c)).cast("string"), text(c)) if c == "value" else text(c)) for c in FIELDS}
     order = sorted(set(names.values()))
     number = {v: i for i, v in enumerate(order)}
     variable = resolve_variable(F.col("normalized_variable"), {k: str(number[v]) for k, v in names.items()}).cast("smallint")

@@ -37,7 +37,9 @@ def infer(patterns: Sequence[tuple[int, int, int, int]], fields: Sequence[str],
 
     patterns: (field, mask of the sources that give the value, mask of those that speak of the field, number of such
     values). Each value's truth is a hidden variable of its own, so that a field can have several true values. Beta
-    priors (sensitivity 8:2, specificity 9:1, share of true values 1:1) keep sources that say little near the usual.
+    priors keep what the data can't tell near the usual: sensitivity 8:2, and specificity 9:1 with the weight of a third
+    of the field's values, since false ones are never seen as such. Values of fields of which one source alone speaks
+    say nothing about it and are judged by what the others teach.
     """
     k, n = len(sources), len(fields)
     if not patterns:
@@ -48,10 +50,12 @@ def infer(patterns: Sequence[tuple[int, int, int, int]], fields: Sequence[str],
     share = positive.sum(1) / np.maximum(positive.sum(1) + silent.sum(1), 1)
     true = np.clip(0.2 + 0.7 * share, 0.05, 0.95)  # start: the more of those who speak agree, the likelier
     one_hot = at[:, None] == np.arange(n)
+    tells = count * (np.array([int(x).bit_count() for x in spoke]) > 1)
+    weight = 10 + (one_hot * tells[:, None]).sum(0)[:, None] / 3
     for _ in range(rounds):
-        w_true, w_false = (one_hot * (count * true)[:, None]).T, (one_hot * (count * (1 - true))[:, None]).T
+        w_true, w_false = (one_hot * (tells * true)[:, None]).T, (one_hot * (tells * (1 - true))[:, None]).T
         sensitivity = (w_true @ positive + 8) / (w_true @ (positive | silent) + 10)
-        specificity = (w_false @ silent + 9) / (w_false @ (positive | silent) + 10)
+        specificity = (w_false @ silent + 0.9 * weight) / (w_false @ (positive | silent) + weight)
         prior = (w_true.sum(1) + 1) / (w_true.sum(1) + w_false.sum(1) + 2)
         sensitivity, specificity, prior = (np.clip(x, 0.01, 0.99) for x in (sensitivity, specificity, prior))
         se, sp = sensitivity[at], specificity[at]
@@ -70,11 +74,11 @@ class Groups:
     keys: expressions of the group's key (a row with a null key is in no group). row_id: unique row number. source:
     expression of the row's source, one of sources (other or null sources count as a further source 'other').
     trust: source -> number, higher is more trusted (others: below all). at: time of the row (null: before all).
-    fields: name -> (comparable text of the value, or null if the field isn't filled). Extra columns, nulls in any of
+    fields: name -> (true if the field is filled, comparable text of its value). Extra columns, nulls in any of
     these and repeated rows are allowed.
     """
 
-    def __init__(self, df: DataFrame, keys: Mapping[str, Column], row_id: Column, source: Column, trust: Mapping[str, int], at: Column, fields: Mapping[str, Column]) -> None:
+    def __init__(self, df: DataFrame, keys: Mapping[str, Column], row_id: Column, source: Column, trust: Mapping[str, int], at: Column, fields: Mapping[str, tuple[Column, Column]]) -> None:
         self.sources = (*sorted(trust), "other")
         if len(self.sources) > MOST_SOURCES:
             raise ValueError(f"more than {MOST_SOURCES - 1} sources")
@@ -87,7 +91,7 @@ class Groups:
         for k in self.keys:
             known = known & F.col(k).isNotNull()
         self.rows = df.select(
-            *[v.alias(k) for k, v in keys.items()], row_id.cast("long").alias("_row"), number.cast("int").alias("_source"), level.cast("int").alias("_trust"), at.alias("_at"), *[v.alias(f"_v{i}") for i, v in enumerate(fields.values())]
+            *[v.alias(k) for k, v in keys.items()], row_id.cast("long").alias("_row"), number.cast("int").alias("_source"), level.cast("int").alias("_trust"), at.alias("_at"), *[f.alias(f"_f{i}") for i, (f, _) in enumerate(fields.values())], *[v.alias(f"_v{i}") for i, (_, v) in enumerate(fields.values())]
         ).where(known)
 
     def claims(self, hashed: bool = True) -> DataFrame:
@@ -96,7 +100,7 @@ class Groups:
         Spread by value, so that a hot group is many rows of many tasks.
         """
         value = (lambda i: F.xxhash64(f"_v{i}")) if hashed else (lambda i: F.col(f"_v{i}"))
-        each = F.explode(F.array_compact(F.array(*[F.when(F.col(f"_v{i}").isNotNull(), F.struct(F.lit(i).cast("tinyint").alias("f"), value(i).alias("v"))) for i in range(len(self.fields))])))
+        each = F.explode(F.array_compact(F.array(*[F.when(F.col(f"_f{i}"), F.struct(F.lit(i).cast("tinyint").alias("f"), value(i).alias("v"))) for i in range(len(self.fields))])))
         said = self.rows.select(*self.keys, F.get(F.lit([1 << i for i in range(len(self.sources))]), F.col("_source")).alias("_bit"), each.alias("_c"))
         return said.groupBy(*self.keys, F.col("_c.f").alias("_field"), F.col("_c.v").alias("_value")).agg(F.bit_or("_bit").alias("_gave"))
 
@@ -122,7 +126,7 @@ class Groups:
         """
         mask = F.lit(0)
         for i in range(len(self.fields)):
-            mask = mask + F.when(F.col(f"_v{i}").isNotNull(), 1 << i).otherwise(0)
+            mask = mask + F.when(F.col(f"_f{i}"), 1 << i).otherwise(0)
         table = F.array(*[F.lit([quality.evidence(s, m) for m in range(1 << len(self.fields))]) for s in range(len(self.sources))])
         rows = self.rows.select(*self.keys, "_row", "_source", "_trust", "_at", mask.alias("_mask"))
         rows = rows.withColumn("_weight", F.get(F.get(table, F.col("_source")), F.col("_mask")))
