@@ -38,15 +38,10 @@ def quantity(text: Column) -> Column:
     """
     t = F.translate(strip(text), "\u00a0\u2009\u202f", "   ")
     fast = F.when(t.rlike(r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$"), t.try_cast("double"))
-    ok = t.rlike(QUANTITY) & ~t.rlike(NOT_ONE)
-    digits = F.translate(F.regexp_extract(t, QUANTITY, 1), "− '", "-")
-    # the last mark is the decimal one if both occur or it occurs once; otherwise the marks group digits
-    number = (
-        F.when(digits.rlike(r"^[^.]*,[^.,]*\.") | digits.rlike(r"(,.*){2,}"), F.regexp_replace(digits, ",", ""))
-        .when(digits.rlike(r"\..*,") | digits.rlike(r"(\..*){2,}"), F.translate(F.regexp_replace(digits, r"\.", ""), ",", "."))
-        .otherwise(F.translate(digits, ",", "."))
-    )
-    power = F.translate(F.regexp_extract(t, QUANTITY, 2), "⁺⁻−⁰¹²³⁴⁵⁶⁷⁸⁹", "+--0123456789")
-    power = F.regexp_extract(power, r"(?:[eE]|10\s*(?:\^|\*\*)?)\s*([+-]?\d+)\s*$", 1)
-    slow = F.when(ok, F.concat(number, F.when(power != "", F.concat(F.lit("e"), power)).otherwise(F.lit(""))).try_cast("double"))
+    # marks before another kind of mark, and marks that occur several times, group digits; a comma that is left is a decimal comma
+    number = F.translate(F.regexp_extract(t, QUANTITY, 1), "− '", "-")
+    for groups in (r",(?=[^.]*\.)", r"\.(?=[^,]*,)", r",(?=.*,)|(?<=,\d{3}),(?=\d{3})", r"\.(?=.*\.)|(?<=\.\d{3})\.(?=\d{3})"):
+        number = F.regexp_replace(number, groups, "")
+    power = F.regexp_replace(F.translate(F.regexp_extract(t, QUANTITY, 2), "⁺⁻−⁰¹²³⁴⁵⁶⁷⁸⁹", "+--0123456789"), r"^\s*(?:[eE]|[×x*·]\s*10\s*(?:\^|\*\*)?)\s*", "e")
+    slow = F.when(t.rlike(QUANTITY) & ~t.rlike(NOT_ONE), F.concat(F.translate(number, ",", "."), power).try_cast("double"))
     return F.coalesce(fast, slow)
