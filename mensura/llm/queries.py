@@ -13,6 +13,8 @@ from mensura.functions.names import paper_keys, resolve_variable, variable_names
 from mensura.functions.numbers import quantity
 from mensura.llm import encode as encoding
 from mensura.llm import quality as text_quality
+from mensura.llm.linkage import link, papers, studies, study_rules, usual_words
+from mensura.session import cut
 from mensura.llm.survivor import Groups
 from mensura.sources.tables import table
 
@@ -22,6 +24,16 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return os.path.join(os.environ.get("MENSURA_TOKENIZERS", "/opt/tokenizers"), name)
 
 
+def p1_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The study of each paper, with the rule that found it and its confidence."""
+    left, right = cut(studies(table(spark, folder, "example_data"))), cut(papers(table(spark, folder, "paper_headers")))
+    return link(left, right, "study_id", "paper", study_rules(usual_words([left, right])))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_links(spark, folder).select("study_id", "paper")
+
+
 #: The fields that a measurement's record is made of.
 FIELDS = ("sheet", "entity", "value", "unit", "sentence")
 
@@ -90,7 +102,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": p3_found, "p3_survivors": p3_survivors, "p3_fused": p3_fused,
+    "p1_found": p1_found, "p1_links": p1_links, "p3_found": p3_found, "p3_survivors": p3_survivors, "p3_fused": p3_fused,
     "p6_ids": p6_ids, "p6_offsets": p6_offsets, "p8_found": p8_found, "p8_quality": p8_quality,
 }
 
