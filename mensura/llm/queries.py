@@ -15,6 +15,7 @@ from mensura.llm import encode as encoding
 from mensura.llm import quality as text_quality
 from mensura.llm.linkage import link, papers, studies, study_rules, usual_words
 from mensura.session import cut
+from mensura.llm.mixing import mix
 from mensura.llm.survivor import Groups
 from mensura.sources.tables import table
 
@@ -88,6 +89,21 @@ def p6_offsets(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode(table(spark, folder, "documents"), "doc_id", "text", tokenizer_path(), offsets="starts")
 
 
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    sized = cut(encoding.count_tokens(table(spark, folder, "documents"), ["doc_id", "source"], "text", tokenizer_path()))
+    return mix(sized, "doc_id", table(spark, folder, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document stands in the mix of sources."""
+    return _mixed(spark, folder)[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source of the mix."""
+    return _mixed(spark, folder)[1]
+
+
 def _common_words(spark: SparkSession, folder: str) -> text_quality.Words:
     return text_quality.Words.of([r.word for r in table(spark, folder, "common_words").where("word is not null").select("word").limit(10_000).collect()])
 
@@ -103,7 +119,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_links": p1_links, "p3_found": p3_found, "p3_survivors": p3_survivors, "p3_fused": p3_fused,
-    "p6_ids": p6_ids, "p6_offsets": p6_offsets, "p8_found": p8_found, "p8_quality": p8_quality,
+    "p6_ids": p6_ids, "p6_offsets": p6_offsets, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_quality": p8_quality,
 }
 
 ORACLES: dict[str, str] = {}
