@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Sources are bits of a mask; observation patterns, at most 3 ** sources of each field, go to the driver.
 MOST_SOURCES = 8
+#: A group is hot from 1/HOT of all rows (and HOT_LEAST rows) on, as one row in SAMPLE tells.
+HOT, HOT_LEAST, SAMPLE = 200, 50_000, 64
 ROUNDS = 50
 
 
@@ -94,15 +97,38 @@ class Groups:
             *[v.alias(k) for k, v in keys.items()], row_id.cast("long").alias("_row"), number.cast("int").alias("_source"), level.cast("int").alias("_trust"), at.alias("_at"), *[f.alias(f"_f{i}") for i, (f, _) in enumerate(fields.values())], *[v.alias(f"_v{i}") for i, (_, v) in enumerate(fields.values())]
         ).where(known)
 
-    def claims(self, hashed: bool = True) -> DataFrame:
-        """(keys, _field, _value, _gave): each distinct value of each field of each group, with the sources that give it.
+    def hot(self) -> DataFrame | None:
+        """Keys of groups that seem to hold more than 1/HOT of all rows, by one row in SAMPLE; None if there are none.
 
-        Spread by value, so that a hot group is many rows of many tasks.
+        This only decides how the work is spread; there are at most HOT such groups.
         """
+        sample = self.rows.where(F.pmod(F.xxhash64("_row"), F.lit(SAMPLE)) == 0).groupBy(*self.keys).agg(F.count("*").alias("_n"))
+        top = sample.orderBy(F.desc("_n")).limit(HOT).collect()
+        least = max(HOT_LEAST / SAMPLE, sample.agg(F.sum("_n")).first()[0] / HOT) if top else 0
+        found = [tuple(r[k] for k in self.keys) for r in top if r._n > least]
+        return self.rows.sparkSession.createDataFrame(found, self.rows.select(*self.keys).schema) if found else None
+
+    def claims(self, hashed: bool = True) -> list[DataFrame]:
+        """(keys, _field, _value, _gave) in parts that share no group: each distinct value of each field of each group,
+        with the sources that give it.
+
+        Usual groups are moved once, as whole rows, by group; nothing after that moves them again. Hot groups, if there
+        are any, are spread by value.
+        """
+        numbers = range(len(self.fields))
         value = (lambda i: F.xxhash64(f"_v{i}")) if hashed else (lambda i: F.col(f"_v{i}"))
-        each = F.explode(F.array_compact(F.array(*[F.when(F.col(f"_f{i}"), F.struct(F.lit(i).cast("tinyint").alias("f"), value(i).alias("v"))) for i in range(len(self.fields))])))
-        said = self.rows.select(*self.keys, F.get(F.lit([1 << i for i in range(len(self.sources))]), F.col("_source")).alias("_bit"), each.alias("_c"))
-        return said.groupBy(*self.keys, F.col("_c.f").alias("_field"), F.col("_c.v").alias("_value")).agg(F.bit_or("_bit").alias("_gave"))
+        bit = F.get(F.lit([1 << i for i in range(len(self.sources))]), F.col("_source"))
+        rows = self.rows.select(*self.keys, bit.alias("_bit"), *[F.when(F.col(f"_f{i}"), value(i)).alias(f"_v{i}") for i in numbers])
+        each = F.explode(F.array_compact(F.array(*[F.when(F.col(f"_v{i}").isNotNull(), F.struct(F.lit(i).cast("tinyint").alias("f"), F.col(f"_v{i}").alias("v"))) for i in numbers])))
+
+        def said(part: DataFrame) -> DataFrame:
+            return part.select(*self.keys, "_bit", each.alias("_c")).groupBy(*self.keys, F.col("_c.f").alias("_field"), F.col("_c.v").alias("_value")).agg(F.bit_or("_bit").alias("_gave"))
+
+        hot = self.hot()
+        if hot is None:
+            return [said(rows.repartition(*self.keys))]
+        few = F.broadcast(hot)  # at most HOT rows
+        return [said(rows.join(few, self.keys, "left_anti").repartition(*self.keys)), said(rows.join(few, self.keys, "left_semi"))]
 
     def _patterns(self, claims: DataFrame) -> DataFrame:
         """(keys, _field, _gave, _spoke, _n): a group's values that the same sources give are taken together first, so that a group is at most 2 ** sources rows."""
@@ -112,7 +138,8 @@ class Groups:
 
     def quality(self) -> Quality:
         """The sources' quality, inferred from every row. At most fields * 3 ** sources counts come to the driver."""
-        counts = self._patterns(self.claims()).groupBy("_field", "_gave", "_spoke").agg(F.sum("_n").alias("n"))
+        parts = [self._patterns(c) for c in self.claims()]
+        counts = functools.reduce(DataFrame.unionByName, parts).groupBy("_field", "_gave", "_spoke").agg(F.sum("_n").alias("n"))
         return infer([tuple(r) for r in counts.collect()], self.fields, self.sources)
 
     def survivors(self, quality: Quality) -> DataFrame:
@@ -143,14 +170,17 @@ class Groups:
         values. If no value of a group's field reaches it, the most probable (of several the smallest) is kept, so
         that no filled field is lost. Values are the comparable texts.
         """
-        claims = self.claims(hashed=False)
-        spoke = self._patterns(claims)
         rows = [(f, g, s, p) for (f, g, s), p in quality.posterior.items()]
-        known = F.broadcast(claims.sparkSession.createDataFrame(rows, "_field tinyint, _gave int, _spoke int, probability double"))  # at most fields * 3 ** sources rows
-        judged = spoke.join(known, ["_field", "_gave", "_spoke"])
-        top = judged.groupBy(*self.keys, "_field").agg(F.max(F.struct("probability", "_gave")).alias("top"))
-        kept = judged.join(top, [*self.keys, "_field"]).where((F.col("probability") >= threshold) | (F.col("_gave") == F.col("top._gave")))
-        full = claims.join(kept.select(*self.keys, "_field", "_gave", "probability"), [*self.keys, "_field", "_gave"])
-        best = full.where(F.col("probability") < threshold).groupBy(*self.keys, "_field").agg(F.min("_value").alias("_value"), F.first("probability").alias("probability"))
-        true = full.where(F.col("probability") >= threshold).select(*self.keys, "_field", "_value", "probability").unionByName(best)
+        known = F.broadcast(self.rows.sparkSession.createDataFrame(rows, "_field tinyint, _gave int, _spoke int, probability double"))  # at most fields * 3 ** sources rows
+        group = [*self.keys, "_field"]
+
+        def judge(claims: DataFrame) -> DataFrame:
+            judged = self._patterns(claims).join(known, ["_field", "_gave", "_spoke"])
+            top = judged.groupBy(*group).agg(F.max(F.struct("probability", "_gave")).alias("top"))
+            kept = judged.join(top, group).where((F.col("probability") >= threshold) | (F.col("_gave") == F.col("top._gave")))
+            full = claims.join(kept.select(*group, "_gave", "probability"), [*group, "_gave"])
+            best = full.where(F.col("probability") < threshold).groupBy(*group).agg(F.min("_value").alias("_value"), F.first("probability").alias("probability"))
+            return full.where(F.col("probability") >= threshold).select(*group, "_value", "probability").unionByName(best)
+
+        true = functools.reduce(DataFrame.unionByName, [judge(c) for c in self.claims(hashed=False)])
         return true.select(*self.keys, F.get(F.lit(list(self.fields)), F.col("_field").cast("int")).alias("field"), F.col("_value").alias("value"), "probability")
