@@ -1,9 +1,10 @@
-"""Session helpers: settings for tests and single machines, and the shared checkpoint folder."""
+"""Session helpers: settings for tests and single machines, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,15 +28,23 @@ def session(app: str = "mensura", cores: int | str = "*", **conf: str) -> SparkS
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one the session names in spark.checkpoint.dir.
+
+    Only where none is named (tests on one machine) a temporary one is made.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="mensura-shared-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint.
+    """df with its lineage cut: written once as a table in the shared folder and read again.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where none is named (tests on one
-    machine) a temporary one is set.
+    It survives the loss of executors, its size is known to the planner, and unlike a checkpoint it is computed once.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mensura-checkpoint-"))
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/mensura-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
