@@ -55,5 +55,5 @@ def regression_metrics(df: DataFrame, keys: Sequence[str], actual: str, predicte
 
 def best(df: DataFrame, keys: Sequence[str], name: str, score: str) -> DataFrame:
     """By keys: the name of highest score (the first in order on ties) and the score. Null scores come last."""
-    top = df.groupBy(*keys).agg(F.min(F.struct(F.coalesce(-F.col(score), F.lit(float("inf"))).alias("s"), F.col(name).alias("n"), F.col(score).alias("v"))).alias("t"))
-    return top.select(*keys, F.col("t.n").alias(name), F.col("t.v").alias(score))
+    top = df.groupBy(*keys).agg(F.min(F.struct(F.coalesce(-F.col(score), F.lit(float("inf"))).alias("s"), F.col(name).alias("n"), F.col(score).alias("v"))).alias("_top"))
+    return top.select(*keys, F.col("_top.n").alias(name), F.col("_top.v").alias(score))
