@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.functions.keys import file_key, filled, strip
+from mensura.functions.keys import MISSING, file_key, strip
 from mensura.functions.names import paper_keys, resolve_variable, variable_names
 from mensura.functions.numbers import quantity
 from mensura.llm import encode as encoding
@@ -43,9 +43,10 @@ def measurement_groups(spark: SparkSession, folder: str) -> Groups:
     """Rows of extended_with_ocr by measurement: paper key, sample number and variable."""
     names = variable_names(table(spark, folder, "variable_guide"))
     trust = {r.relation_method: r.trust for r in table(spark, folder, "relation_methods").where("relation_method is not null and trust is not null").limit(100).collect()}
-    rows = table(spark, folder, "extended_with_ocr")
-    text = lambda c: F.lower(strip(F.col(c)))
-    fields = {c: (filled(F.col(c)), F.coalesce(quantity(F.col(c)).cast("string"), text(c)) if c == "value" else text(c)) for c in FIELDS}
+    low = {c: F.lower(strip(F.col(c))).alias(f"_{c}") for c in FIELDS}  # once, as several columns are made of each
+    rows = table(spark, folder, "extended_with_ocr").select("row_id", "paper", "sample_no", "normalized_variable", "relation_method", "loaded_at", *low.values())
+    has = lambda c: F.coalesce(~F.col(f"_{c}").isin(*MISSING), F.lit(False))
+    fields = {c: (has(c), F.coalesce(quantity(F.col(f"_{c}")).cast("string"), F.col(f"_{c}")) if c == "value" else F.col(f"_{c}")) for c in FIELDS}
     order = sorted(set(names.values()))
     number = {v: i for i, v in enumerate(order)}
     variable = resolve_variable(F.col("normalized_variable"), {k: str(number[v]) for k, v in names.items()}).cast("smallint")
