@@ -157,11 +157,11 @@ class Groups:
         table = F.array(*[F.lit([quality.evidence(s, m) for m in range(1 << len(self.fields))]) for s in range(len(self.sources))])
         rows = self.rows.select(*self.keys, "_row", "_source", "_trust", "_at", mask.alias("_mask"))
         rows = rows.withColumn("_weight", F.get(F.get(table, F.col("_source")), F.col("_mask")))
-        full = F.struct("_at", "_trust", F.bit_count("_mask").alias("c"), (-F.col("_row")).alias("r"), "_mask")
-        best = F.struct("_weight", "_at", (-F.col("_row")).alias("r"))
-        groups = rows.groupBy(*self.keys).agg(F.count("*").alias("n_rows"), F.max(full).alias("a"), F.max(best).alias("b"), F.bit_or("_mask").alias("m"), F.max("_trust").alias("t"))
-        whole = (F.col("a._mask") == F.col("m")) & (F.col("a._trust") == F.col("t"))
-        return groups.select(*self.keys, "n_rows", (-F.when(whole, F.col("a.r")).otherwise(F.col("b.r"))).alias("row_id"), whole.alias("whole"))
+        full = F.struct("_at", "_trust", F.bit_count("_mask").alias("_c"), (-F.col("_row")).alias("_r"), "_mask")
+        best = F.struct("_weight", "_at", (-F.col("_row")).alias("_r"))
+        groups = rows.groupBy(*self.keys).agg(F.count("*").alias("n_rows"), F.max(full).alias("_full"), F.max(best).alias("_best"), F.bit_or("_mask").alias("_all"), F.max("_trust").alias("_top"))
+        whole = (F.col("_full._mask") == F.col("_all")) & (F.col("_full._trust") == F.col("_top"))
+        return groups.select(*self.keys, "n_rows", (-F.when(whole, F.col("_full._r")).otherwise(F.col("_best._r"))).alias("row_id"), whole.alias("whole"))
 
     def fused(self, quality: Quality, threshold: float = 0.5) -> DataFrame:
         """(keys, field, value, probability): every value of every field that is judged true.
