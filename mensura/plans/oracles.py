@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from mensura.functions.keys import BLANKS, LATIN, LOOKALIKES, MISSING
+from mensura.functions.numbers import NOT_ONE, QUANTITY
+from mensura.plans.problems import MEASURED
 from mensura.plans.reference import COLUMNS, CURATED, VARIABLES, VISCOSITIES
 from mensura.schema import BODY_END, CATEGORIES, CONFIDENCE, FEATURE_PATTERNS, IMAGE_NAMES, IMAGE_PATTERNS, IMAGE_RANGED, INPUTS, LABEL_STEPS, MORE_NOISE, NOISE, OIL_TYPES, OIL_WORDS, OUTPUTS, PROTEIN_WORDS, RANGES, SENSORY, TEXT_NAMES, TEXT_PATTERNS, UNITS
 
@@ -91,7 +94,70 @@ DETAIL = f"detail AS (SELECT variable, study_id, CASE WHEN t IS NULL THEN NULL W
 _words = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
 _stripped = "replace(replace(replace(replace(paper, '1-s2.0-', ''), '-mainext', ''), '-main', ''), '-v2', '')"
 
+#: Pieces of the problems' SQL: keys, blanks and names as the queries compare them.
+FROM_, TO_ = LOOKALIKES + "".join(chr(c) for c in range(0xFF01, 0xFF5F)), LATIN + "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+_blanks = " || ".join(f"chr({ord(c)})" for c in BLANKS)
+
+
+def stripped(text: str) -> str:
+    return f"trim({text}, {_blanks})"
+
+
+def is_filled(text: str) -> str:
+    return f"coalesce(lower({stripped(text)}) NOT IN {_in(MISSING)}, false)"
+
+
+def name_key(text: str) -> str:
+    return f"regexp_replace(lower(translate({text}, {_q(FROM_)}, {_q(TO_)})), '[^a-z0-9]+', '', 'g')"
+
+
+def file_key(text: str) -> str:
+    stem = f"regexp_replace({stripped(text)}, '^.*[/\\\\]', '')"
+    return name_key(f"regexp_replace({stem}, '(?i)\\.pdf$', '')")
+
+
+NAMES = f"names AS (SELECT k, max(variable) AS variable FROM (SELECT {name_key('variable')} AS k, variable FROM variable_guide UNION ALL SELECT {name_key('label')}, variable FROM variable_guide) GROUP BY k)"
+PAPERS = f"papers AS (SELECT {file_key('paper')} AS paper_key, min(paper) AS paper FROM paper_headers GROUP BY 1)"
+
+
+def _number(text: str) -> str:
+    t = f"translate({stripped(text)}, ',−', '.-')"
+    return f"CASE WHEN regexp_matches({t}, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$') THEN TRY_CAST({t} AS DOUBLE) END"
+
+
+def _states_one(text: str) -> str:
+    t = f"translate({stripped(text)}, chr(160) || chr(8201) || chr(8239), '   ')"
+    return f"(regexp_matches({t}, {_q(QUANTITY)}) AND NOT regexp_matches({t}, {_q(NOT_ONE)}))"
+
+
+def _differences() -> str:
+    key = lambda c: f"lower(regexp_replace(translate({c}, {_q(FROM_)}, {_q(TO_)}), '[\\s\\x{{85}}\\pZ\\x{{0B}}\\x{{200B}}-\\x{{200D}}\\x{{2060}}\\x{{FEFF}}]+', '', 'g'))".replace("{{", "{").replace("}}", "}")
+    verdict = f"CASE WHEN {is_filled('verdict')} THEN lower({stripped('verdict')}) END"
+    one = lambda name, table, gt, pv, at: f"{name} AS (SELECT v, s, gt, pv, vd FROM (SELECT *, row_number() OVER (PARTITION BY v, s ORDER BY {at} DESC, gt DESC NULLS LAST, pv DESC NULLS LAST, vd DESC NULLS LAST) AS n FROM (SELECT {key('variable')} AS v, {key('study_id')} AS s, {at}, {gt} AS gt, {pv} AS pv, {verdict} AS vd FROM {table})) WHERE n = 1)"
+    a = one("a", "evaluation_results", _nan("gt_value"), _nan("pipeline_value"), "evaluated_at")
+    b = one("b", "evaluation_results_copy", _number("gt_value"), _number("pipeline_value"), "copied_at")
+    apart = lambda f: f"(a.{f} IS NULL) <> (b.{f} IS NULL) OR abs(a.{f} - b.{f}) > 0.0005 + 1e-9"
+    both = "FROM a JOIN b ON a.v = b.v AND a.s = b.s WHERE "
+    parts = [
+        "SELECT a.v, a.s, 'only_in_results' AS field_name FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.v = b.v AND a.s = b.s)", "SELECT b.v, b.s, 'only_in_copy' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.v = b.v AND a.s = b.s)",
+        f"SELECT a.v, a.s, 'gt_value' {both}{apart('gt')}", f"SELECT a.v, a.s, 'pipeline_value' {both}{apart('pv')}", f"SELECT a.v, a.s, 'verdict' {both}a.vd IS DISTINCT FROM b.vd",
+    ]
+    studies = f"studies AS (SELECT {name_key('study_id')} AS k, min({stripped('study_id')}) AS spelled FROM example_data GROUP BY 1)"
+    return f"WITH {a}, {b}, {NAMES}, {studies}, d AS ({' UNION ALL '.join(parts)}) SELECT coalesce(n.variable, d.v) AS variable, coalesce(t.spelled, d.s) AS study_id, field_name FROM d LEFT JOIN names n ON {name_key('d.v')} = n.k LEFT JOIN studies t ON {name_key('d.s')} = t.k"
+
+
+def _changes() -> str:
+    melted = " UNION ALL ".join(f"SELECT load_id, '{c}' AS column_name, CASE WHEN isnan({c}::DOUBLE) THEN NULL ELSE {c}::DOUBLE END AS v FROM wide_format_dataset" for c in MEASURED)
+    stats = "SELECT load_id, column_name, 1 - count(v) / count(*) AS nulls, median(v) AS med, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, count(DISTINCT v) / nullif(count(v), 0) AS dis FROM m GROUP BY 1, 2"
+    pairs = ", ".join(f"{c}, lag({c}) OVER w AS old_{c}" for c in ("nulls", "med", "iqr", "dis"))
+    apart = lambda c, f: f"CASE WHEN {c} IS NULL OR old_{c} IS NULL THEN ({c} IS NULL) <> (old_{c} IS NULL) WHEN {c} <= 0 OR old_{c} <= 0 THEN ({c} <= 0) <> (old_{c} <= 0) OR {c} <> old_{c} ELSE greatest({c}, old_{c}) > {f} * least({c}, old_{c}) END"
+    return f"WITH m AS ({melted}), s AS ({stats}), p AS (SELECT load_id, column_name, {pairs}, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY column_name ORDER BY load_id)) SELECT load_id::BIGINT AS load_id, column_name FROM p WHERE n > 1 AND (abs(nulls - old_nulls) > 0.15 OR {apart('med', 1.5)} OR {apart('iqr', 2.0)} OR {apart('dis', 3.0)})"
+
+
 ORACLES: dict[str, str] = {
+    "p2_found": _differences(),
+    "p4_found": f"WITH {NAMES}, {PAPERS} SELECT DISTINCT p.paper, n.variable AS normalized_variable FROM extended_with_ocr o JOIN papers p ON {file_key('o.paper')} = p.paper_key JOIN names n ON {name_key('o.normalized_variable')} = n.k WHERE {is_filled('o.value')} AND {_states_one('o.value')}",
+    "p5_found": _changes(),
     "wide_median_pivot": f"WITH {PIVOT} SELECT * FROM pivoted",
     "wide_unmapped_kept": f"WITH {OBS} SELECT paper, count(*) FILTER (WHERE variable IN {_in(list(VARIABLES))}) = 0 AS nothing_mapped FROM obs WHERE value IS NOT NULL AND paper IS NOT NULL GROUP BY paper",
     "wide_rescaled": f"WITH {PIVOT} SELECT paper, {', '.join(_scaled.values())} FROM pivoted",
@@ -109,12 +175,12 @@ ORACLES: dict[str, str] = {
     "regex_distinct_hits": f"SELECT doc_id, {_hits(r'\d+(?:\.\d+)?\s*°c', 0)} AS temperatures, {_hits(r'\d+(?:\.\d+)?\s*wt\.?\s*%', 0)} AS concentrations, {_hits(r'(\d+)\s+participants', 1)} AS participants, {_hits(r'\d+(?:\.\d+)?\s*[µμu]m', 0)} AS sizes, array_to_string(list_filter(CASE WHEN text IS NOT NULL THEN {list(OIL_TYPES)} END, lambda o: contains(lower(text), o)), '|') AS oils FROM documents",
     "feature_medians": "WITH " + ", ".join(f"f{i} AS (SELECT paper, median(TRY_CAST(replace(v, ',', '') AS DOUBLE)) AS m FROM (SELECT paper, unnest(regexp_extract_all(text, {_pattern(p)}, 1)) AS v FROM documents) GROUP BY paper)" for i, (_, p) in enumerate(FEATURE_PATTERNS)) + " SELECT d.paper, " + ", ".join(f"f{i}.m AS {VARIABLES[n]}" for i, (n, _) in enumerate(FEATURE_PATTERNS)) + " FROM (SELECT DISTINCT paper FROM documents) d " + " ".join(f"LEFT JOIN f{i} ON d.paper IS NOT DISTINCT FROM f{i}.paper" for i in range(len(FEATURE_PATTERNS))),
     "keyword_flags": f"SELECT doc_id, {_flag(PROTEIN_WORDS)} AS protein_type, {_flag(OIL_WORDS)} AS oil_fat_type FROM documents",
-    "body_slice": rf"WITH a AS (SELECT doc_id, CASE WHEN regexp_matches(text, '(?is)\bAbstract\b') THEN regexp_extract(text, '(?is)\bAbstract\b.*', 0) ELSE text END AS t FROM documents), b AS (SELECT doc_id, CASE WHEN regexp_matches(t, {_q('(?is)' + BODY_END)}) THEN regexp_extract(t, {_q('(?is)^(.*?)' + BODY_END)}, 1) ELSE t END AS t FROM a) SELECT doc_id, length(t) AS n_body, md5(t) AS body_md5 FROM b",
-    "clean_text": f"SELECT doc_id, length({CLEAN}) AS n_clean, md5({CLEAN}) AS clean_md5 FROM documents",
+    "body_slice": rf"WITH a AS (SELECT doc_id, CASE WHEN regexp_matches(text, '(?is)\bAbstract\b') THEN regexp_extract(text, '(?is)\bAbstract\b.*', 0) ELSE text END AS t FROM documents), b AS (SELECT doc_id, CASE WHEN regexp_matches(t, {_q('(?is)' + BODY_END)}) THEN regexp_extract(t, {_q('(?is)^(.*?)' + BODY_END)}, 1) ELSE t END AS t FROM a) SELECT doc_id, coalesce(length(t), 0) AS n_body, md5(t) AS body_md5 FROM b",
+    "clean_text": f"SELECT doc_id, coalesce(length({CLEAN}), 0) AS n_clean, md5({CLEAN}) AS clean_md5 FROM documents",
     "sentence_split": rf"WITH s AS (SELECT doc_id, string_split(regexp_replace({CLEAN}, '([.!?]) +([A-Z0-9])', '\1' || chr(10) || '\2', 'g'), chr(10)) AS parts FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM s) SELECT doc_id, (i - 1)::INTEGER AS sentence_no, trim(parts[i]) AS sentence FROM e WHERE length(trim(parts[i])) >= 20",
     "document_lines": f"WITH {LINES} SELECT doc_id, count(*) AS n_lines, max(length(line)) AS longest FROM lines GROUP BY doc_id",
     "noise_filter": f"SELECT row_id, entity FROM extended_with_ocr WHERE (coalesce(relation_method = 'pattern', false) OR NOT {NOISY}) AND NOT coalesce(lower(entity) IN {_in(MORE_NOISE)}, false)",
-    "classify_normalise": f"SELECT entity, relation_method, variable, {_category()} AS category, {_case(_e, TEXT_NAMES)} AS named, {_case(_e, IMAGE_NAMES)} AS named_in_image, split_part(variable, '_', 1) AS pattern_category, {_case('relation_method', CONFIDENCE)} AS confidence FROM (SELECT DISTINCT entity, relation_method, normalized_variable AS variable FROM extended_with_ocr)",
+    "classify_normalise": f"SELECT entity, relation_method, variable, {_category()} AS category, {_case(_e, TEXT_NAMES)} AS named, {_case(_e, IMAGE_NAMES)} AS named_in_image, split_part(variable, '_', 1) AS pattern_category, ({_case('relation_method', CONFIDENCE)})::DOUBLE AS confidence FROM (SELECT DISTINCT entity, relation_method, normalized_variable AS variable FROM extended_with_ocr)",
     "range_filter": f"SELECT normalized_variable AS variable, {_ranged('value', list(RANGES), 'normalized_variable')} AS plausible, count(*) AS n FROM extended_with_ocr WHERE value IS NOT NULL GROUP BY 1, 2",
     "nullified_values": rf"WITH n AS (SELECT *, coalesce(regexp_matches(value, '\p{{Nd}}'), false) AND {_ranged('value', list(RANGES), 'normalized_variable')} AS good FROM extended_with_ocr) SELECT row_id, CASE WHEN good THEN value END AS value_raw, CASE WHEN good THEN unit END AS unit, CASE WHEN good THEN relation_method ELSE 'none' END AS relation_method FROM n",
     "proximity_link": rf"WITH w AS (SELECT row_id, {_words.format('sentence')} AS w FROM extended_with_ocr WHERE sentence IS NOT NULL), p AS (SELECT row_id, w, list_sort(list_filter(list_transform(range(0, len(w)), lambda i: CASE WHEN regexp_matches(w[i + 1], '^[0-9]+([.,][0-9]+)?$') THEN {{'d': abs(i - (len(w) - 1) / 2), 'i': i}} END), lambda z: z IS NOT NULL)) AS c FROM w) SELECT row_id, c[1].i AS at, w[c[1].i + 1] AS number, CASE WHEN lower(w[c[1].i + 2]) IN {_in(UNITS)} THEN lower(w[c[1].i + 2]) END AS unit FROM p WHERE len(c) > 0",
@@ -122,7 +188,7 @@ ORACLES: dict[str, str] = {
     "digit_repair": rf"SELECT doc_id, md5(array_to_string(list_transform(list_filter(regexp_split_to_array(text, '{BLANK}+'), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '\p{{Nd}}') THEN translate(w, 'OolIBSZG', '00118526') ELSE w END), ' ')) AS repaired_md5 FROM documents",
     "labels": f"SELECT paper, CASE WHEN starts_with({_stripped}, 'S') AND length({_stripped}) > 8 THEN substr({_stripped}, 1, 14) ELSE trim(substr({_stripped}, 1, 22), '-_ ') END AS study_label, CASE WHEN starts_with(paper, '1-s2.0-') OR starts_with(paper, 'S0') OR starts_with(paper, 'S2') THEN trim(substr(replace(paper, '1-s2.0-', ''), 1, 18), '-_ ') ELSE substr(array_to_string(({_words.format("replace(paper, '-', ' ')")})[1:4], ' '), 1, 28) END AS paper_label, paper AS stem FROM paper_headers",
     "unpivot_long": "SELECT * FROM (" + " UNION ALL ".join([f"SELECT row_no, 'd90_um' AS variable, {_nan('d90_um')} AS value FROM example_data", *[f"SELECT row_no, 'viscosity_pa_s', {_nan(c)} / 1000 FROM example_data" for c in VISCOSITIES], f"SELECT row_no, 'fat_concentration_wt', {_nan('fat_concentration_pct')} FROM example_data"]) + ") WHERE value IS NOT NULL",
-    "union_observations": "SELECT variable, unit, relation_method, load_id, count(*) AS n FROM (SELECT normalized_variable AS variable, unit, relation_method, NULL::INTEGER AS load_id FROM extended_with_ocr UNION ALL SELECT 'Viscosity_Pa_s', NULL, NULL, load_id FROM wide_format_dataset WHERE viscosity_pa_s IS NOT NULL) GROUP BY ALL",
+    "union_observations": "SELECT variable, unit, relation_method, load_id, count(*) AS n FROM (SELECT normalized_variable AS variable, unit, relation_method, NULL::VARCHAR AS load_id FROM extended_with_ocr UNION ALL SELECT 'Viscosity_Pa_s', NULL, NULL, load_id::VARCHAR FROM wide_format_dataset WHERE viscosity_pa_s IS NOT NULL) GROUP BY ALL",
     "group_median": f"SELECT trim(study_id) AS study, {', '.join(f'median({_nan(c)}) AS {c}' for c in CURATED)} FROM example_data GROUP BY 1",
     "row_median": f"SELECT row_no, list_median(list_filter([{', '.join(_nan(c) for c in VISCOSITIES)}], lambda x: x IS NOT NULL)) * 0.001 AS viscosity_pa_s FROM example_data",
     "design_outputs_join": "SELECT r.study_id, r.variable, r.verdict, count(*) AS n_rows, min(d.oil_type) AS first_oil FROM (SELECT trim(study_id) AS study_id, oil_type FROM example_data) d JOIN evaluation_results r ON d.study_id = r.study_id GROUP BY 1, 2, 3",

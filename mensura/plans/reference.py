@@ -127,12 +127,12 @@ def keyword_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 def body_slice(spark: SparkSession, folder: str) -> DataFrame:
     b = text.body(F.col("text"))
-    return table(spark, folder, "documents").select("doc_id", F.length(b).cast("bigint").alias("n_body"), F.md5(b).alias("body_md5"))
+    return table(spark, folder, "documents").select("doc_id", F.coalesce(F.length(b), F.lit(0)).cast("bigint").alias("n_body"), F.md5(b).alias("body_md5"))
 
 
 def clean_text(spark: SparkSession, folder: str) -> DataFrame:
     c = text.clean(F.col("text"))
-    return table(spark, folder, "documents").select("doc_id", F.length(c).cast("bigint").alias("n_clean"), F.md5(c).alias("clean_md5"))
+    return table(spark, folder, "documents").select("doc_id", F.coalesce(F.length(c), F.lit(0)).cast("bigint").alias("n_clean"), F.md5(c).alias("clean_md5"))
 
 
 def sentence_split(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,7 +151,7 @@ def classify_normalise(spark: SparkSession, folder: str) -> DataFrame:
     e = F.col("entity")
     return _observations(spark, folder).select("entity", "relation_method", "variable").distinct().select(
         "entity", "relation_method", "variable", classify.category(e).alias("category"), classify.variable(e).alias("named"), classify.variable(e, IMAGE_NAMES).alias("named_in_image"),
-        classify.pattern_category(F.col("variable")).alias("pattern_category"), classify.confidence(F.col("relation_method")).alias("confidence"),
+        classify.pattern_category(F.col("variable")).alias("pattern_category"), classify.confidence(F.col("relation_method")).cast("double").alias("confidence"),
     )
 
 
@@ -192,7 +192,7 @@ def unpivot_long(spark: SparkSession, folder: str) -> DataFrame:
 
 def union_observations(spark: SparkSession, folder: str) -> DataFrame:
     long = table(spark, folder, "extended_with_ocr").select("paper", F.col("normalized_variable").alias("variable"), "unit", "relation_method")
-    tables = table(spark, folder, "wide_format_dataset").where("viscosity_pa_s is not null").select("paper", F.lit("Viscosity_Pa_s").alias("variable"), "load_id")
+    tables = table(spark, folder, "wide_format_dataset").where("viscosity_pa_s is not null").select("paper", F.lit("Viscosity_Pa_s").alias("variable"), F.col("load_id").cast("string").alias("load_id"))
     return union([long, tables]).groupBy("variable", "unit", "relation_method", "load_id").agg(F.count("*").alias("n"))
 
 
