@@ -17,6 +17,7 @@ from mensura.llm.linkage import link, papers, studies, study_rules, usual_words
 from mensura.session import cut
 from mensura.llm.mixing import mix
 from mensura.llm.survivor import Groups
+from mensura.plans import oracles as sql
 from mensura.sources.tables import table
 
 
@@ -123,4 +124,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids, "p6_offsets": p6_offsets, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_quality": p8_quality,
 }
 
-ORACLES: dict[str, str] = {}
+def _survivors_sql() -> str:
+    """The rows to keep, by windows over each measurement."""
+    has = " | ".join(f"(CASE WHEN {sql.is_filled(c)} THEN {1 << i} ELSE 0 END)" for i, c in enumerate(FIELDS))
+    rows = f"SELECT o.row_id, p.paper, o.sample_no, n.variable, o.loaded_at, coalesce(m.trust, 0) AS trust, {has} AS mask FROM extended_with_ocr o JOIN papers p ON {sql.file_key('o.paper')} = p.paper_key JOIN names n ON {sql.name_key('o.normalized_variable')} = n.k LEFT JOIN relation_methods m ON o.relation_method = m.relation_method WHERE o.sample_no IS NOT NULL"
+    group = "OVER (PARTITION BY paper, sample_no, variable)"
+    return f"WITH {sql.NAMES}, {sql.PAPERS}, r AS ({rows}), g AS (SELECT *, count(*) {group} AS n, bit_or(mask) {group} AS whole, max(loaded_at) {group} AS latest, max(trust) {group} AS top FROM r) SELECT min(row_id) AS row_id FROM g WHERE n >= 2 AND mask = whole AND loaded_at = latest AND trust = top GROUP BY paper, sample_no, variable"
+
+
+ORACLES: dict[str, str] = {"p3_found": _survivors_sql()}

@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 
 from mensura.llm import queries
@@ -13,3 +14,12 @@ def test_columns(spark, small):
     want = {"p3_found": ["row_id"], "p6_ids": ["doc_id", "ids"], "p8_found": ["doc_id"]}
     for name, columns in want.items():
         assert queries.QUERIES[name](spark, small).columns == columns
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, small, name):
+    con = duckdb.connect()
+    for table in ("extended_with_ocr", "paper_headers", "relation_methods", "variable_guide"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
+    want = sorted(con.execute(queries.ORACLES[name]).fetchall())
+    assert want and sorted(map(tuple, queries.QUERIES[name](spark, small).collect())) == want
