@@ -31,7 +31,9 @@ def _matches(text: Column, variable: str, pattern: str, unit: str | None) -> Col
             (F.get(units, k) if unit is None else F.lit(unit)).alias("unit"),
         )
 
-    return F.transform(whole, lambda _, k: one(k))
+    # one cheap pass tells the patterns that occur; only those are taken apart
+    none = F.array().cast("array<struct<start:int,length:int,variable:string,entity:string,value:string,unit:string>>")
+    return F.when(text.rlike(rx), F.transform(whole, lambda _, k: one(k))).otherwise(none)
 
 
 def _free(accepted: Column, match: Column) -> Column:
@@ -57,10 +59,11 @@ class PatternLibrary:
         are named like the match's are replaced. Narrow: no shuffle, no Python.
         """
         taken = ("start", "length", "variable", "entity", "value", "unit")
-        found = df.where(F.col(text).rlike("(?U)\\d")).withColumn("_all", self.candidates(F.col(text))).where(F.size("_all") > 0)
+        found = df.where(F.col(text).rlike("(?U)\\d")).withColumn("_all", self.candidates(F.col(text)))
         kept = F.aggregate("_all", F.slice("_all", 1, 0), lambda acc, x: F.when(_free(acc, x), F.array_append(acc, x)).otherwise(acc))
         keep = [c for c in df.columns if c not in taken]
-        return found.withColumn("_kept", kept).select(*keep, F.explode("_kept").alias("_m")).select(*keep, "_m.*")
+        # an outer explode, as for a plain one the optimizer computes the array once more to filter the rows
+        return found.withColumn("_kept", kept).select(*keep, F.explode_outer("_kept").alias("_m")).where("_m is not null").select(*keep, "_m.*")
 
 
 TEXT = PatternLibrary(TEXT_PATTERNS)

@@ -29,7 +29,7 @@ def sentences(df: DataFrame, text: str, least: int = 20) -> DataFrame:
     """
     parts = F.split(F.regexp_replace(clean(F.col(text)), r"([.!?]) +([A-Z0-9])", "$1\n$2"), "\n")
     keep = [c for c in df.columns if c not in (text, "sentence_no", "sentence")]
-    return df.select(*keep, F.posexplode(parts).alias("sentence_no", "_s")).select(*keep, "sentence_no", F.trim("_s").alias("sentence")).where(F.length("sentence") >= least)
+    return df.select(*keep, F.posexplode_outer(parts).alias("sentence_no", "_s")).select(*keep, "sentence_no", F.trim("_s").alias("sentence")).where(F.length("sentence") >= least)
 
 
 def repair_digits(text: Column) -> Column:
@@ -41,7 +41,7 @@ def repair_digits(text: Column) -> Column:
 def lines(df: DataFrame, text: str) -> DataFrame:
     """df without the text, with a row for each line that isn't blank: line_no (from 0, blank ones counted) and line, without outer blanks."""
     keep = [c for c in df.columns if c not in (text, "line_no", "line")]
-    rows = df.select(*keep, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "_l"))
+    rows = df.select(*keep, F.posexplode_outer(F.split(F.col(text), "\n")).alias("line_no", "_l"))
     return rows.select(*keep, "line_no", F.regexp_replace("_l", r"(?U)^\s+|\s+$", "").alias("line")).where("line <> ''")
 
 

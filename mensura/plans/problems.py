@@ -13,7 +13,7 @@ from mensura.functions.numbers import plain_number, quantity
 from mensura.operators.diff import differences
 from mensura.operators.eav import cast_failures, filled_cells, to_wide
 from mensura.operators.profile import changes, profile
-from mensura.sources.tables import table
+from mensura.sources.tables import spread, table
 
 MEASURED = (
     "fat_concentration_wt_pct", "protein_concentration_wt_pct", "temperature_c", "homogenization_rpm", "pressure_mpa", "processing_time_s", "participants_n",
@@ -49,7 +49,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def _resolved(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, str]]:
     guide = table(spark, folder, "variable_guide")
     names = variable_names(guide)
-    rows = table(spark, folder, "extended_with_ocr").select(file_key(F.col("paper")).alias("paper_key"), resolve_variable(F.col("normalized_variable"), names).alias("normalized_variable"), F.when(filled(F.col("value")), F.col("value")).alias("value"))
+    rows = spread(table(spark, folder, "extended_with_ocr").select("paper", "normalized_variable", "value")).select(file_key(F.col("paper")).alias("paper_key"), resolve_variable(F.col("normalized_variable"), names).alias("normalized_variable"), F.when(filled(F.col("value")), F.col("value")).alias("value"))
     return rows, {v: ascii_column(v) for v in sorted(set(names.values()))}
 
 
