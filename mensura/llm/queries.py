@@ -18,7 +18,7 @@ from mensura.session import cut
 from mensura.llm.mixing import mix
 from mensura.llm.survivor import Groups
 from mensura.plans import oracles as sql
-from mensura.sources.tables import table
+from mensura.sources.tables import spread, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -45,7 +45,8 @@ def measurement_groups(spark: SparkSession, folder: str) -> Groups:
     names = variable_names(table(spark, folder, "variable_guide"))
     trust = {r.relation_method: r.trust for r in table(spark, folder, "relation_methods").where("relation_method is not null and trust is not null").limit(100).collect()}
     low = {c: F.lower(strip(F.col(c))).alias(f"_{c}") for c in FIELDS}  # once, as several columns are made of each
-    rows = table(spark, folder, "extended_with_ocr").select("row_id", "paper", "sample_no", "normalized_variable", "relation_method", "loaded_at", *low.values())
+    names_ = ("row_id", "paper", "sample_no", "normalized_variable", "relation_method", "loaded_at")
+    rows = spread(table(spark, folder, "extended_with_ocr").select(*names_, *FIELDS)).select(*names_, *low.values())
     has = lambda c: F.coalesce(~F.col(f"_{c}").isin(*MISSING), F.lit(False))
     fields = {c: (has(c), F.coalesce(quantity(F.col(f"_{c}")).cast("string"), F.col(f"_{c}")) if c == "value" else F.col(f"_{c}")) for c in FIELDS}
     order = sorted(set(names.values()))

@@ -119,10 +119,10 @@ class Groups:
         value = (lambda i: F.xxhash64(f"_v{i}")) if hashed else (lambda i: F.col(f"_v{i}"))
         bit = F.get(F.lit([1 << i for i in range(len(self.sources))]), F.col("_source"))
         rows = self.rows.select(*self.keys, bit.alias("_bit"), *[F.when(F.col(f"_f{i}"), value(i)).alias(f"_v{i}") for i in numbers])
-        each = F.explode(F.array_compact(F.array(*[F.when(F.col(f"_v{i}").isNotNull(), F.struct(F.lit(i).cast("tinyint").alias("f"), F.col(f"_v{i}").alias("v"))) for i in numbers])))
+        each = F.explode_outer(F.array_compact(F.array(*[F.when(F.col(f"_v{i}").isNotNull(), F.struct(F.lit(i).cast("tinyint").alias("f"), F.col(f"_v{i}").alias("v"))) for i in numbers])))
 
         def said(part: DataFrame) -> DataFrame:
-            return part.select(*self.keys, "_bit", each.alias("_c")).groupBy(*self.keys, F.col("_c.f").alias("_field"), F.col("_c.v").alias("_value")).agg(F.bit_or("_bit").alias("_gave"))
+            return part.select(*self.keys, "_bit", each.alias("_c")).where("_c is not null").groupBy(*self.keys, F.col("_c.f").alias("_field"), F.col("_c.v").alias("_value")).agg(F.bit_or("_bit").alias("_gave"))
 
         hot = self.hot()
         if hot is None:
