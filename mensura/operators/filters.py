@@ -51,6 +51,11 @@ def without_ticks(df: DataFrame, keys: Sequence[str], value: str, most: int = 3)
     return df.join(renamed, on, "left_anti")
 
 
+def readable(df: DataFrame, text: str, confidence: str, least: int = 20, sure: float = 0.80) -> DataFrame:
+    """Rows of text read off an image that are long and sure enough; null texts and confidences are not."""
+    return df.where((F.length(text) >= least) & (F.col(confidence) >= sure))
+
+
 def supported(df: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
     """Groups with at least so many rows: keys and n."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)

@@ -118,6 +118,19 @@ def design_rows(lines: DataFrame, keys: list[str], line: str, width: int = 5, ru
     return rows.select(*keys, *[(F.get("_n", F.lit(i)).cast("bigint") if i < 2 else F.get("_n", F.lit(i))).alias(n) for i, n in enumerate(names)])
 
 
+def left_column_design(words: DataFrame, page: str, width: float, part: float = 0.55, tolerance: float = 4.0) -> DataFrame:
+    """Design rows of the left column of pages of the given width: words left of a part of it, in rows, that hold five numbers."""
+    rows = word_rows(words.where(F.col("x") < part * width), page, tolerance)
+    lines = rows.groupBy(page, "row_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda w: w["text"]), " ").alias("_line"))
+    return design_rows(lines, [page, "row_no"], "_line").orderBy(page, "run")
+
+
+def positional(df: DataFrame, order: list[str], columns: dict[str, tuple[str, ...]], most: int = 20) -> DataFrame:
+    """The first rows (by order) of a table of text, its columns by position: name -> source columns, of which the first that holds a number counts."""
+    value = lambda c: F.replace(F.trim(F.col(f"`{c}`")), F.lit(","), F.lit(".")).try_cast("double")
+    return df.orderBy(*order).limit(most).select(*[F.coalesce(*map(value, sources)).alias(name) for name, sources in columns.items()])
+
+
 def levelled_lines(lines: DataFrame, page: str, names: list[str], most: int = 7) -> DataFrame:
     """(page, level, name, numbers): a table whose rows stand over several lines (page, line_no, line).
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -93,12 +94,39 @@ def leave_one_out(df: DataFrame, key: str, features: Sequence[str], target: str,
     return rows.mapInPandas(run, schema)
 
 
-def hold_out(df: DataFrame, key: str, named: Sequence[str], target: str, least_test: int = 5, least_train: int = 10) -> tuple[DataFrame, DataFrame] | None:
-    """(train, test) by a list of held-out keys, or None if either side has too few rows with a target: leave one out instead."""
+def hold_out(df: DataFrame, held: Column, target: str, least_test: int = 5, least_train: int = 10) -> tuple[DataFrame, DataFrame] | None:
+    """(train, test) by a condition on held-out rows, or None if either side has too few rows with a target: leave one out instead."""
+    held = F.coalesce(held, F.lit(False))
     rows = df.where(F.col(target).isNotNull())
-    test, train_ = rows.where(F.col(key).isin(*named)), rows.where(~F.col(key).isin(*named))
-    n = rows.agg(F.count_if(F.col(key).isin(*named)).alias("test"), F.count_if(~F.col(key).isin(*named)).alias("train")).first()
-    return (train_, test) if n.test >= least_test and n.train >= least_train else None
+    n = rows.agg(F.count_if(held).alias("test"), F.count_if(~held).alias("train")).first()
+    return (rows.where(~held), rows.where(held)) if n.test >= least_test and n.train >= least_train else None
+
+
+def compare(train_: DataFrame, test: DataFrame, key: str, features: Sequence[str], target: str, models: Mapping[str, object]) -> DataFrame:
+    """(key, target, model, actual, predicted, abs_error): predictions of held-out rows by each model (name -> estimator on 'features' and 'label')."""
+    parts = []
+    for name, estimator in models.items():
+        got = predict(train(train_, features, target, estimator), test, features)
+        parts.append(got.select(key, F.lit(target).alias("target"), F.lit(name).alias("model"), F.col(target).cast("double").alias("actual"), "predicted", F.abs(F.col(target) - F.col("predicted")).alias("abs_error")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(spark: SparkSession, path: str) -> PipelineModel | None:
+    """A saved model, or None if there is none at the path."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        return None
+    return PipelineModel.load(path)
+
+
+def summary_row(df: DataFrame, key: str, features: Sequence[str], predicted: Mapping[str, str], actual: Mapping[str, str]) -> DataFrame:
+    """key with feat_*, pred_* and actual_* columns, rounded to four decimals (target -> column)."""
+    pick = lambda prefix, names: [F.round(F.col(c).cast("double"), 4).alias(f"{prefix}_{n}") for n, c in names.items()]
+    return df.select(key, *pick("feat", {f: f for f in features}), *pick("pred", predicted), *pick("actual", actual))
 
 
 def importances(names: Sequence[str], weights: Sequence[float]) -> list[tuple[str, float]]:

@@ -10,10 +10,8 @@ from mensura.schema import BODY_END, BODY_START, LABEL_STEPS
 
 def body(text: Column, start: str = BODY_START, end: str = BODY_END) -> Column:
     """The text from the first start marker on, up to the first end marker after it; a marker that is missing cuts nothing."""
-    at = F.regexp_instr(text, F.lit("(?i)" + start))
-    rest = F.when(at > 0, F.substr(text, at)).otherwise(text)
-    stop = F.regexp_instr(rest, F.lit("(?i)" + end))
-    return F.when(stop > 0, F.substr(rest, F.lit(1), stop - 1)).otherwise(rest)
+    rest = F.coalesce(F.nullif(F.regexp_extract(text, f"(?is){start}.*", 0), F.lit("")), text)
+    return F.get(F.split(rest, f"(?i){end}", 2), F.lit(0))
 
 
 def clean(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mensura.functions.names import ascii_column
 from mensura.operators import classify, evaluate, filters, layout, ml, patterns, text, wide
 from mensura.operators.long import union, unpivot
+from mensura.plans import extraction
 from mensura.schema import FEATURE_PATTERNS, IMAGE_NAMES, IMAGE_RANGED, OIL_TYPES, OIL_WORDS, OUTPUTS, PROTEIN_WORDS, RANGES, SENSORY
 from mensura.sources.files import numbered
 from mensura.sources.tables import spread, table
@@ -236,6 +237,24 @@ def eval_summary(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.summary(_detail(spark, folder), ["variable"])
 
 
+def corpus_observations(spark: SparkSession, folder: str) -> DataFrame:
+    """All observations that the whole texts of documents give, counted by variable and method."""
+    found = extraction.observations(spread(table(spark, folder, "documents").select("paper", "text")))
+    return found.groupBy("normalized_variable", "relation_method").agg(F.count("*").alias("n"), F.count("value").alias("n_numbers"), F.round(F.median("value"), 6).alias("median_value"))
+
+
+def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    """Held-out errors of three models of viscosity; papers of one publisher's series are held out."""
+    features = [VARIABLES[v] for v in ("Temperature_C", "Pressure_MPa", "Fat_concentration_wt%")]
+    target = VARIABLES["Viscosity_Pa_s"]
+    rows = wide.imputed(_pivot(spark, folder), features).select("paper", *features, target)
+    parts = ml.hold_out(rows, F.lower("paper").contains("emulsci"), target, 1, 1)
+    train, test = parts if parts else (rows.where(F.col(target).isNotNull()),) * 2
+    moments = train.agg(F.count("*").alias("n"), F.stddev_pop(F.log1p(target)).alias("d")).first()
+    models = {"ridge": ml.ridge(10.0, moments.n, moments.d or 1.0, "features", "label"), "forest": ml.forest("features", "label", trees=30, depth=5), "boosted": ml.boosted("features", "label", rounds=10)}
+    return evaluate.regression_metrics(ml.compare(train, test, "paper", features, target, models), ["target", "model"], "actual", "predicted")
+
+
 def _boxes(spark: SparkSession, folder: str) -> DataFrame:
     """Places of numbers on pages, made of lineitem's figures."""
     return table(spark, folder, "lineitem").select(
@@ -348,7 +367,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         wide_median_pivot, wide_unmapped_kept, wide_rescaled, wide_with_counts, coverage_report, presence_matrix, method_share, sheets_per_method, distinct_counts, value_stats, histogram_bins, extraction_counts,
         pattern_extract, pattern_extract_images, regex_distinct_hits, feature_medians, keyword_flags, body_slice, clean_text, sentence_split, document_lines, noise_filter, classify_normalise, range_filter,
         nullified_values, proximity_link, axis_tick_filter, digit_repair, labels, unpivot_long, union_observations, group_median, row_median, design_outputs_join, key_mapping_lookup, semi_anti_split, eval_detail,
-        eval_summary, word_rows, word_grid, table_blocks, table_layout_gate, numeric_cells, design_matrix, levelled_table, regression_metrics, best_model, impute_median, ridge_fit, ridge_leave_one_out,
+        eval_summary, word_rows, word_grid, table_blocks, table_layout_gate, numeric_cells, design_matrix, levelled_table, corpus_observations, regression_metrics, best_model, impute_median, model_comparison, ridge_fit, ridge_leave_one_out,
         forest_predictions, boosted_predictions,
     )
 }

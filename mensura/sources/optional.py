@@ -48,6 +48,17 @@ def ruled_tables(content: bytes) -> list[dict]:
     return out
 
 
+def image_boxes(content: bytes, side: int = 2000) -> list[dict]:
+    """A row for each piece of text read off an image: x, y (centre), text, conf. The image is grey, of more contrast and at most `side` pixels long."""
+    io = importlib.import_module("io")
+    image = _need("PIL.Image").open(io.BytesIO(content)).convert("L")
+    image.thumbnail((side, side))
+    image = _need("PIL.ImageEnhance").Contrast(image).enhance(2.0).filter(_need("PIL.ImageFilter").SHARPEN)
+    found, _ = _need("rapidocr_onnxruntime").RapidOCR()(_need("numpy").array(image.convert("RGB")))
+    centre = lambda box, i: sum(p[i] for p in box) / len(box)
+    return [{"x": centre(box, 0), "y": centre(box, 1), "text": text, "conf": float(conf)} for box, text, conf in found or []]
+
+
 def entities(text: str, model: str = "en_core_sci_md") -> list[dict]:
     """A row for each named entity of a text: text, label, start, end."""
     doc = _need("spacy").load(model)(text)

@@ -5,20 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from mensura.operators.patterns import TEXT, PatternLibrary
-from mensura.operators.text import body, sentences
-from mensura.schema import OBSERVATION
-from pyspark.sql import functions as F
-
-
-def observations(documents: DataFrame, paper: str = "paper", text: str = "text", library: PatternLibrary = TEXT) -> DataFrame:
-    """Observations that a library finds in the sentences of documents; stateless, so the same for a table and a stream."""
-    parts = sentences(documents.select(F.col(paper).alias("paper"), body(F.col(text)).alias("_text")), "_text")
-    found = library.extract(parts, "sentence")
-    return found.select(
-        "paper", "sentence", "entity", F.lit("QUANTITY").alias("entity_label"), F.col("value").alias("value_raw"), F.replace("value", F.lit(","), F.lit("")).try_cast("double").alias("value"), "unit",
-        F.lit("pattern").alias("relation_method"), F.split_part("variable", F.lit("_"), F.lit(1)).alias("category"), F.col("variable").alias("normalized_variable"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("source"),
-    ).to(OBSERVATION)
+from mensura.plans.extraction import observations
 
 
 def append_stream(documents: DataFrame, folder: str, checkpoint: str, **kwargs: str) -> StreamingQuery:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from mensura.operators import classify, evaluate, filters, layout, ml, patterns, text, wide
 from mensura.operators.long import append, read, union, unpivot
 from mensura.schema import TEXT_PATTERNS
+from mensura.plans.extraction import observations
 from mensura.sources import files, optional
-from mensura.streaming.incremental import append_stream, observations
+from mensura.streaming.incremental import append_stream
 
 
 def greedy(sentence):
@@ -170,7 +171,7 @@ def test_layout_lines(spark):
     assert {r.page: (r.n_boxes, r.n_rows, r.table_like) for r in layout.table_like(boxes, "page", F.col("conf") >= 0.8).collect()} == {"t": (16, 4, True), "u": (1, 0, False)}
 
 
-def test_ridge_and_leave_one_out(spark):
+def test_ridge_and_leave_one_out(spark, tmp_path):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(12, 2))
     y = np.exp(x @ [0.3, -0.2] + 1 + rng.normal(0, 0.1, 12)) - 1
@@ -193,7 +194,13 @@ def test_ridge_and_leave_one_out(spark):
     model = ml.train(df.dropna(), ["a", "b"], "y", ml.ridge(10, n, deviation, "features", "label"))
     assert list(model.stages[-1].coefficients) == pytest.approx(list(solve(x, np.log1p(y))[0]))
     assert ml.predict(model, df, ["a", "b"]).count() == 13
-    assert ml.hold_out(df, "k", [1, 2], "y") is None and ml.hold_out(df, "k", [0, 1, 2, 3, 4], "y", 5, 5) is not None
+    assert ml.hold_out(df, F.col("k").isin(1, 2), "y") is None
+    parts = ml.hold_out(df.dropna(), F.col("k") < 5, "y", 5, 5)
+    got = ml.compare(*parts, "k", ["a", "b"], "y", {"ridge": ml.ridge(10, 7, deviation, "features", "label"), "forest": ml.forest("features", "label", 3, 3)})
+    assert sorted({(r.k, r.model) for r in got.collect()}) == [(k, m) for k in range(5) for m in ("forest", "ridge")]
+    ml.save(model, str(tmp_path / "model"))
+    assert ml.load(spark, str(tmp_path / "model")).transform(df.dropna()).count() == 12 and ml.load(spark, str(tmp_path / "none")) is None
+    assert ml.summary_row(df, "k", ["a"], {"y": "y"}, {"y": "b"}).columns == ["k", "feat_a", "pred_y", "actual_y"]
     assert ml.importances(["a", "b"], [1.0, -3.0]) == [("b", 0.75), ("a", 0.25)]
 
 
@@ -225,7 +232,25 @@ def test_stream(spark, tmp_path):
     docs.write.parquet(source)
     append_stream(spark.readStream.schema(docs.schema).parquet(source), out, str(tmp_path / "checkpoint")).awaitTermination()
     got = {(r.normalized_variable, r.value) for r in spark.read.parquet(out).collect()}
-    assert got == {(r.normalized_variable, r.value) for r in observations(docs).collect()} == {("Temperature_C", 80.0), ("Processing_time_s", 30.0)}
+    assert got == {(r.normalized_variable, r.value) for r in observations(docs).collect()} == {("Temperature_C", 80.0), ("Processing_time_s", 30.0), ("Emulsion_system", 80.0)}
+
+
+def test_observations(spark):
+    texts = [("p", "Title. Abstract The viscosity of the mixture reached 0.3 Pa·s after some time. The whole panel of 12 participants was trained first. Olive oil was then heated to 999 °C without any harm. References\nviscosity 5"), ("q", None), ("r", "")]
+    got = {(r.entity, r.value_raw, r.unit, r.relation_method, r.normalized_variable, r.confidence) for r in observations(spark.createDataFrame(texts, "paper string, text string")).collect()}
+    assert ("0.3 Pa·s", "0.3", "Pa·s", "pattern", "Viscosity_Pa_s", 1.0) in got and ("12 participants", "12", "", "pattern", "Participants_n", 1.0) in got
+    assert ("viscosity", "0.3", "pa·s", "proximity", "Viscosity_Pa_s", 3.0) in got and ("participants", "12", None, "proximity", "Participants_n", 3.0) in got
+    assert not any(e == "999 °C" for e, *_ in got)
+
+
+def test_more_layout(spark):
+    words = [("p", 10.0 * i, 0.0, t) for i, t in enumerate(["3", "1", "0,5", "0.2", "10"])] + [("p", 900.0, 0.0, "99"), ("p", 10.0, 50.0, "7")]
+    got = layout.left_column_design(spark.createDataFrame(words, "page string, x double, y double, text string"), "page", 1000.0).collect()
+    assert [(r.run, r.block, r.orange_oil_pct) for r in got] == [(3, 1, 10.0)]
+    table = spark.createDataFrame([("1", "x", "2,5"), ("2", "4", None), ("3", None, None)], "n string, `6` string, `7` string")
+    assert [tuple(r) for r in layout.positional(table, ["n"], {"run": ("n",), "v": ("6", "7")}, 2).collect()] == [(1.0, 2.5), (2.0, 4.0)]
+    rows = spark.createDataFrame([("x" * 20, 0.8), ("x" * 19, 0.9), ("x" * 30, 0.7), (None, 0.9), ("x" * 30, None)], "t string, c double")
+    assert filters.readable(rows, "t", "c").count() == 1
 
 
 @settings(max_examples=60, deadline=None)
