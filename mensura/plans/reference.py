@@ -11,7 +11,7 @@ from mensura.functions.names import ascii_column
 from mensura.operators import classify, evaluate, filters, layout, ml, patterns, text, wide
 from mensura.operators.long import union, unpivot
 from mensura.plans import extraction
-from mensura.schema import FEATURE_PATTERNS, IMAGE_NAMES, IMAGE_RANGED, OIL_TYPES, OIL_WORDS, OUTPUTS, PROTEIN_WORDS, RANGES, SENSORY
+from mensura.schema import FEATURE_PATTERNS, IMAGE_NAMES, IMAGE_RANGED, OIL_TYPES, OIL_WORDS, PROTEIN_WORDS, RANGES, SENSORY
 from mensura.sources.files import numbered
 from mensura.sources.tables import spread, table
 
