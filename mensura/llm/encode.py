@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.codepoints import LETTER, NUMBER, SPACE, Chunk, chunks, classes, prefix_hash, slice_hash
+from mensura.llm.codepoints import SPACE, Chunk, chunks, classes, prefix_hash, slice_hash
 from mensura.sources.tables import spread
 
 # Symbols. LAST_BLANK is a blank, LAST_WHITE any other white space, before something that isn't white space.
