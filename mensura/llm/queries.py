@@ -67,7 +67,7 @@ def _spelled(spark: SparkSession, folder: str, df: DataFrame) -> DataFrame:
 
 def p3_survivors(spark: SparkSession, folder: str) -> DataFrame:
     """The surviving row of every measurement, single ones included."""
-    groups = measurement_groups(spark, folder)
+    groups = measurement_groups(spark, folder).compact()
     return _spelled(spark, folder, _of_known_papers(spark, folder, groups.survivors(groups.quality())))
 
 
@@ -78,7 +78,7 @@ def p3_fused(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    groups = measurement_groups(spark, folder)
+    groups = measurement_groups(spark, folder).compact()
     kept = groups.survivors(groups.quality()).where("n_rows >= 2 and whole")
     return _of_known_papers(spark, folder, kept).select("row_id")
 

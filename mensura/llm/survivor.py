@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import functools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -10,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mensura.session import cut
+
 #: Sources are bits of a mask; observation patterns, at most 3 ** sources of each field, go to the driver.
 MOST_SOURCES = 8
 #: A group is hot from 1/HOT of all rows (and HOT_LEAST rows) on, as one row in SAMPLE tells.
@@ -97,6 +100,13 @@ class Groups:
             *[v.alias(k) for k, v in keys.items()], row_id.cast("long").alias("_row"), number.cast("int").alias("_source"), level.cast("int").alias("_trust"), at.alias("_at"), *[f.alias(f"_f{i}") for i, (f, _) in enumerate(fields.values())], *[v.alias(f"_v{i}") for i, (_, v) in enumerate(fields.values())]
         ).where(known)
 
+    def compact(self) -> Groups:
+        """The same groups with their rows written once, values as 64-bit hashes: for quality and survivors, which each read them."""
+        out = copy.copy(self)
+        numbers = range(len(self.fields))
+        out.rows = cut(self.rows.select(*self.keys, "_row", "_source", "_trust", "_at", *[f"_f{i}" for i in numbers], *[F.when(F.col(f"_f{i}"), F.xxhash64(f"_v{i}")).alias(f"_v{i}") for i in numbers]))
+        return out
+
     def hot(self) -> DataFrame | None:
         """Keys of groups that seem to hold more than 1/HOT of all rows, by one row in SAMPLE; None if there are none.
 
