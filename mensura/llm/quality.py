@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,8 @@ STATES = ("prose", "list", "table", "junk")
 PROSE, LIST, TABLE, JUNK = range(4)
 #: A line longer than this is labelled in parts, cut at blanks, so that unlike parts of it can have other labels.
 PART = 120
-#: Documents on whose lines the model is fitted: those of lowest key hash. Everything else runs over all documents.
+#: Documents on which the lines that aren't clear are labelled to refit the model: those of lowest key hash. All counts
+#: of pairs and clear lines, and everything else, run over all documents.
 FIT_DOCUMENTS = 3000
 #: Word classes of the pair scores: every frequent word is one, all other words are spread over so many by hash.
 BUCKETS = 256
@@ -51,8 +52,16 @@ def _word_class() -> np.ndarray:
     return out
 
 
+@functools.cache
+def _among(chars: str) -> np.ndarray:
+    """Whether each code point is one of the characters."""
+    out = np.zeros(0x110000, bool)
+    out[[ord(c) for c in chars]] = True
+    return out
+
+
 def _member(points: np.ndarray, chars: str) -> np.ndarray:
-    return np.isin(points, np.array([ord(c) for c in chars], np.uint32))
+    return _among(chars)[points]
 
 
 @dataclass(frozen=True)
@@ -78,7 +87,8 @@ class Lines:
     piece: index of the text's piece; weight: characters that aren't blank; the rest are counts of a part.
     """
 
-    def __init__(self, chunk: Chunk, words: Words) -> None:
+    def __init__(self, chunk: Chunk, words: Words, pairs_only: bool = False) -> None:
+        """pairs_only: only what the counts of pairs take."""
         raw = chunk.points
         n = len(raw)
         points = _lower()[raw]
@@ -86,8 +96,7 @@ class Lines:
         blank = kinds == SPACE
         broken = np.zeros(n + 1, bool)  # a line begins here
         if n:
-            stops = np.isin(raw, np.array(BREAKS, np.uint32)) if raw.max() > 127 else (raw < 32) & (raw != 9) & np.isin(raw, np.array(BREAKS, np.uint32))
-            broken[1:] = stops
+            broken[1:] = _member(raw, "".join(map(chr, BREAKS)))
             broken[chunk.start[chunk.end > chunk.start]] = True
         begins = np.empty(n, bool)
         if n:
@@ -109,9 +118,10 @@ class Lines:
         edges = np.append(self.start, n)
         total = lambda mask: np.add.reduceat(mask.astype(np.int32), self.start) if count else np.zeros(0, np.int32)
         letter, digit = kinds == LETTER, kinds == NUMBER
-        self.letters, self.digits, self.others = total(letter), total(digit), total(kinds == OTHER)
-        self.weight = self.letters + self.digits + self.others
-        self.capitals = total(raw != points)
+        if not pairs_only:
+            self.letters, self.digits, self.others = total(letter), total(digit), total(kinds == OTHER)
+            self.weight = self.letters + self.digits + self.others
+            self.capitals = total(raw != points)
         self.tokens = np.bincount(seg_of_token, minlength=count)
         # words: runs of letters
         edge = np.zeros(n + 1, np.int8)
@@ -130,12 +140,13 @@ class Lines:
         self.common = per(number > 0)
         self.word_letters = per(size)
         self.initials = per(initial)
-        long = np.diff(np.append(token, n))
-        if len(token):  # a token's length without the blanks after it
-            solid = np.concatenate(([0], np.cumsum(~blank)))
-            long = solid[np.append(token[1:], n)] - solid[token]
-        self.long = np.bincount(seg_of_token, np.where(long > 24, long, 0), count) if count else np.zeros(0)
-        self.tiny = np.bincount(seg_of_token, long == 1, count) if count else np.zeros(0)
+        if not pairs_only:
+            long = np.diff(np.append(token, n))
+            if len(token):  # a token's length without the blanks after it
+                solid = np.concatenate(([0], np.cumsum(~blank)))
+                long = solid[np.append(token[1:], n)] - solid[token]
+            self.long = np.bincount(seg_of_token, np.where(long > 24, long, 0), count) if count else np.zeros(0)
+            self.tiny = np.bincount(seg_of_token, long == 1, count) if count else np.zeros(0)
         # pairs of neighbouring words in one part, as numbers of frequent words
         follows = np.flatnonzero(where[1:] == where[:-1])
         sort = np.where(number > 0, number, len(words.hashes) + 1 + (hashes >> np.uint64(40)).astype(np.int64) % BUCKETS)
@@ -151,9 +162,11 @@ class Lines:
         self.again_all = per(again)
         # neighbouring letters
         low = np.where((points >= 97) & (points <= 122), points - 96, 0).astype(np.int16)
-        both = np.flatnonzero(letter[1:] & letter[:-1]) if n else token
+        both = np.flatnonzero(letter[1:] & letter[:-1] & ~broken[1:n]) if n else token  # not from one text to the next
         self.letter_pair = low[both] * 27 + low[both + 1]
         self.letter_where = np.searchsorted(self.start, both, "right") - 1
+        if pairs_only:
+            return
         self.separators = total(_member(raw, SEPARATORS)) if count else np.zeros(0)
         wide = np.zeros(n, bool)
         if n > 1:
@@ -327,42 +340,72 @@ def _emit(model: Model, bins: list[np.ndarray]) -> np.ndarray:
     return score
 
 
-def fit(texts: Sequence[str | None], words: Words, rounds: int = ROUNDS) -> Model:
-    """A model from unlabelled texts: clear lines are labelled by their kind's marks, the model is counted from them,
-    labels all lines, and is counted again, a few rounds; clear lines keep their label's weight."""
+def _pair_counts(lines: Lines, words: Words) -> np.ndarray:
+    """Counts of each pair of neighbouring words, then of letters, in lines that look like text of some kind."""
+    size = len(words.hashes) + 1 + BUCKETS
+    share = lines.common / np.maximum(lines.words, 1)
+    fair = (share > 0.2) & (lines.words >= 7) & (lines.again_all / np.maximum(lines.words, 1) < 0.6)
+    use = fair[lines.pair_where]
+    return np.concatenate((np.bincount(lines.pair[0][use] * size + lines.pair[1][use], minlength=size * size), np.bincount(lines.letter_pair[fair[lines.letter_where]], minlength=27 * 27)))
+
+
+def _pair_scores(counts: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
     size = len(words.hashes) + 1 + BUCKETS
-    held = [(c, Lines(c, words)) for c in chunks(pa.array(list(texts), pa.large_string()))]
-    pair_counts, letter_counts = np.zeros((size, size)), np.zeros(27 * 27)
-    for _, ln in held:  # by lines that look like text of some kind
-        share = ln.common / np.maximum(ln.words, 1)
-        fair = (share > 0.2) & (ln.words >= 7) & (ln.again_all / np.maximum(ln.words, 1) < 0.6)
-        use = fair[ln.pair_where]
-        np.add.at(pair_counts, (ln.pair[0][use], ln.pair[1][use]), 1)
-        letter_counts += np.bincount(ln.letter_pair[fair[ln.letter_where]], minlength=27 * 27)
-    letters = letter_counts.reshape(27, 27)
-    model = Model(words, _ratio(pair_counts, 1.0), _ratio(letters, 5.0).ravel(), (), np.zeros((4, 4)), np.zeros(4))
+    return _ratio(counts[: size * size].reshape(size, size).astype(float), 1.0), _ratio(counts[size * size :].reshape(27, 27).astype(float), 5.0).ravel()
+
+
+def _label_counts(bins: list[np.ndarray], label: np.ndarray, edges: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Counts of labels by bin of each statistic, of moves between labels, of first labels, and of lines without a label.
+
+    Only lines of the mask count, and moves from or to them; -1 is no label.
+    """
+    known = np.flatnonzero((label >= 0) & of)
+    emission = [np.bincount(b[known] * 4 + label[known], minlength=(len(e) + 1) * 4) for e, b in zip(BINS.values(), bins)]
+    head = np.zeros(len(label), bool)
+    head[edges[:-1][np.diff(edges) > 0]] = True
+    inner = np.flatnonzero(~head[1:] & (label[1:] >= 0) & (label[:-1] >= 0) & (of[1:] | of[:-1]))
+    moves = np.bincount(label[inner].astype(np.int64) * 4 + label[inner + 1], minlength=16)
+    return np.concatenate((*emission, moves, np.bincount(label[head & of & (label >= 0)], minlength=4), [(label < 0).sum()]))
+
+
+def _model(words: Words, pairs: np.ndarray, letters: np.ndarray, counts: np.ndarray) -> Model:
+    cuts = np.cumsum([*[(len(e) + 1) * 4 for e in BINS.values()], 16, 4])
+    *emission, moves, starts, _ = np.split(counts, cuts)
+    emission = [t.reshape(-1, 4) + 1 for t in emission]
+    moves, starts = moves.reshape(4, 4) + 1, starts + 1
+    return Model(words, pairs, letters, tuple(0.6 * np.log(t / t.sum(0)) for t in emission), np.log(moves / moves.sum(1, keepdims=True)), np.log(starts / starts.sum()))
+
+
+def _seed_counts(chunk: Chunk, words: Words, pairs: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    lines = Lines(chunk, words)
+    s = _statistics(lines, pairs, letters)
+    return _label_counts(_bins(s), _seeds(lines, s), _pieces(lines, len(chunk.start)), np.ones(lines.count, bool))
+
+
+def fit(texts: Sequence[str | None], words: Words, rounds: int = ROUNDS, corpus: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """A model from unlabelled texts: clear lines are labelled by their kind's marks, the model is counted from them,
+    labels all lines, and is counted again, a few rounds; clear lines keep their label's weight.
+
+    corpus: counts of pairs and of clear lines over all texts of which these are a sample. The texts then only give the
+    counts of lines that aren't clear, in proportion to their number in the corpus.
+    """
+    held = list(chunks(pa.array(list(texts), pa.large_string())))
+    counts = corpus[0] if corpus else sum(_pair_counts(Lines(c, words, pairs_only=True), words) for c in held)
+    pairs, letters = _pair_scores(counts, words) if held or corpus else _pair_scores(np.zeros((len(words.hashes) + 1 + BUCKETS) ** 2 + 27 * 27), words)
     data = []
-    for c, ln in held:
-        s = _statistics(ln, model.pairs, model.letters)
-        data.append((_bins(s), _seeds(ln, s), _pieces(ln, len(c.start)), ln.weight))
-    labels = [seed for _, seed, _, _ in data]
-    for r in range(rounds + 1):
-        emission = [np.ones((len(e) + 1, len(STATES))) for e in BINS.values()]
-        moves, starts = np.ones((4, 4)), np.ones(4)
-        for (bins, seed, edges, _), label in zip(data, labels):
-            known = np.flatnonzero(label >= 0)
-            for table, b in zip(emission, bins):
-                np.add.at(table, (b[known], label[known]), 1)
-            head = np.zeros(len(label), bool)
-            head[edges[:-1][np.diff(edges) > 0]] = True
-            inner = np.flatnonzero(~head[1:] & (label[1:] >= 0) & (label[:-1] >= 0))
-            np.add.at(moves, (label[inner], label[inner + 1]), 1)
-            np.add.at(starts, label[head & (label >= 0)], 1)
-        model = Model(
-            words, model.pairs, model.letters, tuple(0.6 * np.log(t / t.sum(0)) for t in emission), np.log(moves / moves.sum(1, keepdims=True)), np.log(starts / starts.sum())
-        )
-        if r < rounds:
-            labels = [np.where(seed >= 0, seed, viterbi(_emit(model, bins), edges, model.transition, model.start)) for bins, seed, edges, _ in data]
+    for c in held:
+        ln = Lines(c, words)
+        s = _statistics(ln, pairs, letters)
+        data.append((_bins(s), _seeds(ln, s), _pieces(ln, len(c.start))))
+    clear = corpus[1] if corpus else sum((_label_counts(bins, seed, edges, np.ones(len(seed), bool)) for bins, seed, edges in data), np.zeros(sum(len(e) + 1 for e in BINS.values()) * 4 + 21))
+    model = _model(words, pairs, letters, clear)
+    scale = clear[-1] / max(sum((seed < 0).sum() for _, seed, _ in data), 1)
+    for _ in range(rounds):
+        unclear = np.zeros(len(clear))
+        for bins, seed, edges in data:
+            label = np.where(seed >= 0, seed, viterbi(_emit(model, bins), edges, model.transition, model.start))
+            unclear += _label_counts(bins, label, edges, seed < 0)
+        model = _model(words, pairs, letters, clear + scale * unclear)
     return model
 
 
@@ -399,10 +442,34 @@ def describe(texts: pa.Array, model: Model) -> list[pa.Array]:
     ]
 
 
+def _summed(texts: DataFrame, count: Callable[[Chunk], np.ndarray], size: int) -> np.ndarray:
+    """Sum of count, an array of fixed size, over the chunks of all texts: a partial sum per task, then one by cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for chunk in chunks(batch.column(0)):
+                total += count(chunk)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
+
+    sums = texts.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most size rows
+    out = np.zeros(size, np.int64)
+    out[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    return out
+
+
 def fit_on(df: DataFrame, key: str, text: str, words: Words, documents: int = FIT_DOCUMENTS) -> Model:
-    """The model fitted on the `documents` rows of lowest key hash, a bounded sample."""
-    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), F.xxhash64(key).alias("h")).orderBy("h", "t").limit(documents).select("t").toArrow()
-    return fit(rows["t"].to_pylist(), words)
+    """The model of all rows: word and letter pairs and clear lines are counted over every text. Only the lines that
+    aren't clear are labelled, in the refitting rounds, on the `documents` rows of lowest key hash, a bounded sample."""
+    given = df.where(F.col(text).isNotNull())
+    texts = spread(given.select(text))
+    n_pairs = (len(words.hashes) + 1 + BUCKETS) ** 2 + 27 * 27
+    counts = _summed(texts, lambda c: _pair_counts(Lines(c, words, pairs_only=True), words), n_pairs)
+    pairs, letters = _pair_scores(counts, words)
+    clear = _summed(texts, lambda c: _seed_counts(c, words, pairs, letters), sum(len(e) + 1 for e in BINS.values()) * 4 + 21)
+    rows = given.select(F.col(text).alias("t"), F.xxhash64(key).alias("h")).orderBy("h", "t").limit(documents).select("t").toArrow()
+    return fit(rows["t"].to_pylist(), words, corpus=(counts, clear))
 
 
 def quality(df: DataFrame, key: str, text: str, words: Words, model: Model | None = None) -> DataFrame:

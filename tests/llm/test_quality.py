@@ -108,3 +108,15 @@ def test_frame(spark):
     got = quality.quality(df, "doc_id", "text", Words.of(COMMON)).collect()
     assert len(got) == 42 and sum((r.prose_share or 0) > 0.5 for r in got if r.doc_id is not None and r.doc_id < 30) == 30
     assert quality.quality(df.limit(0), "doc_id", "text", Words.of(COMMON)).count() == 0
+
+
+def test_counts_cover_all_documents(spark):
+    """Only the refitting rounds see the sample; pairs and clear lines are those of all texts."""
+    rng = random.Random(9)
+    texts = [prose(rng) for _ in range(60)] + [f(rng) for _ in range(10) for f in (table, listing, junk)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    words = Words.of(COMMON)
+    want, got = fit(texts, words), quality.fit_on(df, "doc_id", "text", words, documents=5)
+    assert np.allclose(want.pairs, got.pairs) and np.allclose(want.letters, got.letters)
+    seeds, none = fit(texts, words, rounds=0), quality.fit_on(df, "doc_id", "text", words, documents=0)
+    assert all(np.allclose(a, b, atol=0.3) for a, b in zip(seeds.emission, none.emission)) and np.allclose(seeds.transition, none.transition, atol=0.3)
