@@ -11,7 +11,8 @@ from mensura.functions.names import ascii_column
 from mensura.operators import classify, evaluate, filters, layout, ml, patterns, text, wide
 from mensura.operators.long import union, unpivot
 from mensura.plans import extraction
-from mensura.schema import FEATURE_PATTERNS, IMAGE_NAMES, IMAGE_RANGED, OIL_TYPES, OIL_WORDS, PROTEIN_WORDS, RANGES, SENSORY
+from mensura.schema import FEATURE_PATTERNS, FEATURES, IMAGE_NAMES, IMAGE_RANGED, OIL_TYPES, OIL_WORDS, PROTEIN_WORDS, RANGES, SENSORY, TARGETS
+from mensura.session import cut
 from mensura.sources.files import numbered
 from mensura.sources.tables import spread, table
 
@@ -345,20 +346,29 @@ def ridge_leave_one_out(spark: SparkSession, folder: str) -> DataFrame:
     return ml.leave_one_out(wide.imputed(_pivot(spark, folder), features), "paper", features, VARIABLES["Viscosity_Pa_s"])
 
 
+def _predictions(spark: SparkSession, folder: str, model) -> DataFrame:  # noqa: ANN001
+    """Each target of every paper by a model on all features, fitted on the papers that have the target.
+
+    Features that are no measured column of the tables are left out; a target that too few papers have is null.
+    """
+    features, targets = [VARIABLES[v] for v in FEATURES if v in VARIABLES], {VARIABLES[v]: n for v, n in TARGETS.items()}
+    out = cut(wide.imputed(_pivot(spark, folder), features).select("paper", *features, *targets))
+    have = out.agg(*[F.count(t).alias(t) for t in targets]).first()
+    names = {t: "predicted_viscosity" if t == VARIABLES["Viscosity_Pa_s"] else f"predicted_{t}" for t in targets}
+    given = out
+    for target, least in targets.items():
+        out = ml.predict(ml.train(given, features, target, model), out, features, names[target]) if have[target] >= least else out.withColumn(names[target], F.lit(None).cast("double"))
+    return out.select("paper", *names.values())
+
+
 def forest_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """Viscosity of every paper by a forest on the papers that have it."""
-    features = [VARIABLES[v] for v in ("Temperature_C", "Pressure_MPa", "Fat_concentration_wt%")]
-    filled = wide.imputed(_pivot(spark, folder), features).select("paper", *features, VARIABLES["Viscosity_Pa_s"])
-    model = ml.train(filled, features, VARIABLES["Viscosity_Pa_s"], ml.forest("features", "label", trees=50, depth=5))
-    return ml.predict(model, filled, features, "predicted_viscosity").select("paper", "predicted_viscosity")
+    """The targets of every paper by forests of 300 trees, as deep as the library's limit of 30."""
+    return _predictions(spark, folder, ml.forest("features", "label", depth=30))
 
 
 def boosted_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """Viscosity of every paper by boosted trees on the papers that have it."""
-    features = [VARIABLES[v] for v in ("Temperature_C", "Pressure_MPa", "Fat_concentration_wt%")]
-    filled = wide.imputed(_pivot(spark, folder), features).select("paper", *features, VARIABLES["Viscosity_Pa_s"])
-    model = ml.train(filled, features, VARIABLES["Viscosity_Pa_s"], ml.boosted("features", "label", rounds=20))
-    return ml.predict(model, filled, features, "predicted_viscosity").select("paper", "predicted_viscosity")
+    """The targets of every paper by 200 rounds of boosted trees."""
+    return _predictions(spark, folder, ml.boosted("features", "label"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -253,6 +253,18 @@ def test_more_layout(spark):
     assert filters.readable(rows, "t", "c").count() == 1
 
 
+def test_tree_queries_have_the_reference_size(spark, small, monkeypatch):
+    from mensura.plans import reference
+
+    seen, real = [], ml.train
+    monkeypatch.setattr(ml, "train", lambda df, features, target, model: seen.append((len(features), target, model)) or real(df, features, target, ml.ridge(10.0, 5, 1.0, "features", "label")))
+    monkeypatch.setattr(reference, "TARGETS", dict.fromkeys(reference.TARGETS, 1))
+    got = [reference.forest_predictions(spark, small), reference.boosted_predictions(spark, small)]
+    assert all(len(g.columns) == 6 and g.columns[:2] == ["paper", "predicted_viscosity"] for g in got)
+    assert {n for n, _, _ in seen} == {6} and len({t for _, t, _ in seen}) == 5 and len(seen) == 10
+    assert all(m.getNumTrees() == 300 and m.getMaxDepth() == 30 for _, _, m in seen[:5]) and all(m.getMaxIter() == 200 for _, _, m in seen[5:])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 40), min_size=1, max_size=25))
 def test_row_anchors(ys):
