@@ -112,3 +112,10 @@ def test_profile_edges(spark):
     assert profile(df.limit(0), "load", ["x"]).count() == 0
     hot = spark.range(20000).select(F.lit(1).alias("load"), F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id").cast("double")).alias("x"))
     assert profile(hot, "load", ["x"]).first().median == pytest.approx(np.median([5.0 if i % 3 == 0 else i for i in range(20000)]))
+
+
+def test_median_of_a_large_cell_is_exact(spark):
+    from mensura.operators.eav import to_wide
+
+    rows = spark.range(200_001).selectExpr("'p' AS paper", "'a' AS name", "cast(id * id AS string) AS value").repartition(4)
+    assert to_wide(rows, "paper", "name", "value", {"a": "a"}, F.col("value").cast("double")).first().a == 100_000.0**2
