@@ -13,7 +13,7 @@ from mensura.functions.names import paper_keys, resolve_variable, variable_names
 from mensura.functions.numbers import quantity
 from mensura.llm import encode as encoding
 from mensura.llm import quality as text_quality
-from mensura.llm.linkage import link, papers, studies, study_rules, usual_words
+from mensura.llm.linkage import link, paper_values, papers, studies, study_facts, study_rules, usual_words
 from mensura.session import cut
 from mensura.llm.mixing import mix
 from mensura.llm.survivor import Groups
@@ -28,8 +28,9 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 def p1_links(spark: SparkSession, folder: str) -> DataFrame:
     """The study of each paper, with the rule that found it and its confidence."""
-    left, right = cut(studies(table(spark, folder, "example_data"))), cut(papers(table(spark, folder, "paper_headers")))
-    return link(left, right, "study_id", "paper", study_rules(usual_words([left, right])))
+    measured = paper_values(table(spark, folder, "extended_with_ocr"), table(spark, folder, "variable_guide"))
+    left, right = cut(studies(table(spark, folder, "example_data"))), cut(papers(table(spark, folder, "paper_headers"), measured))
+    return link(left, right, "study_id", "paper", study_rules(), study_facts(usual_words([left, right])))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
