@@ -30,7 +30,8 @@ def p1_links(spark: SparkSession, folder: str) -> DataFrame:
     """The study of each paper, with the rule that found it and its confidence."""
     measured = paper_values(table(spark, folder, "extended_with_ocr"), table(spark, folder, "variable_guide"))
     left, right = cut(studies(table(spark, folder, "example_data"))), cut(papers(table(spark, folder, "paper_headers"), measured))
-    return link(left, right, "study_id", "paper", study_rules(), study_facts(usual_words([left, right])))
+    usual = usual_words([left, right])
+    return link(left, right, "study_id", "paper", study_rules(usual), study_facts(list(usual)))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,10 +42,19 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 FIELDS = ("sheet", "entity", "value", "unit", "sentence")
 
 
+def _few(rows: DataFrame, most: int, name: str) -> list:
+    """All rows of a small table; more than it may have are an error, so that none is left out."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"{name} has more than {most} rows")
+    return got
+
+
 def measurement_groups(spark: SparkSession, folder: str) -> Groups:
     """Rows of extended_with_ocr by measurement: paper key, sample number and variable."""
     names = variable_names(table(spark, folder, "variable_guide"))
-    trust = {r.relation_method: r.trust for r in table(spark, folder, "relation_methods").where("relation_method is not null and trust is not null").limit(100).collect()}
+    methods = table(spark, folder, "relation_methods").where("relation_method is not null and trust is not null")
+    trust = {r.relation_method: r.trust for r in _few(methods, 100, "relation_methods")}
     low = {c: F.lower(strip(F.col(c))).alias(f"_{c}") for c in FIELDS}  # once, as several columns are made of each
     names_ = ("row_id", "paper", "sample_no", "normalized_variable", "relation_method", "loaded_at")
     rows = spread(table(spark, folder, "extended_with_ocr").select(*names_, *FIELDS)).select(*names_, *low.values())
@@ -109,7 +119,7 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _common_words(spark: SparkSession, folder: str) -> text_quality.Words:
-    return text_quality.Words.of([r.word for r in table(spark, folder, "common_words").where("word is not null").select("word").limit(10_000).collect()])
+    return text_quality.Words.of([r.word for r in _few(table(spark, folder, "common_words").where("word is not null").select("word"), 10_000, "common_words")])
 
 
 def p8_quality(spark: SparkSession, folder: str) -> DataFrame:

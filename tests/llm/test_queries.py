@@ -23,3 +23,14 @@ def test_query_equals_sql(spark, small, name):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
     want = sorted(con.execute(queries.ORACLES[name]).fetchall())
     assert want and sorted(map(tuple, queries.QUERIES[name](spark, small).collect())) == want
+
+
+def test_small_tables_are_never_cut(spark, tmp_path, small):
+    """A word list or a list of methods that is longer than it may be is an error, not a shorter list."""
+    from mensura.llm import queries
+
+    spark.range(10_001).selectExpr("'en' lang", "concat('w', id) word").write.parquet(f"{tmp_path}/common_words.parquet")
+    with pytest.raises(ValueError, match="common_words"):
+        queries._common_words(spark, str(tmp_path))
+    spark.range(10_000).selectExpr("'en' lang", "concat('w', id) word").write.mode("overwrite").parquet(f"{tmp_path}/common_words.parquet")
+    assert len(queries._common_words(spark, str(tmp_path)).hashes) == 10_000
