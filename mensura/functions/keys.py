@@ -25,8 +25,9 @@ LATIN = (
     "0123456789"
 )
 
-#: Unicode's white space and zero-width characters.
-BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
+#: Unicode's white space; and the same with zero-width characters.
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+BLANKS = SPACES + "\u200b\u200c\u200d\u2060\ufeff"
 
 # What stands for a missing value in a text field.
 MISSING = ("", "nan", "na", "n/a", "none", "null", "-", "–", "—", "<na>")
@@ -44,6 +45,11 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
+def trim_spaces(text: Column) -> Column:
+    """Without outer white space of any kind."""
+    return F.btrim(text, F.lit(SPACES))
+
+
 def name_key(text: Column) -> Column:
     """Lower-case ASCII letters and digits only: equal for spellings that differ in case, blanks, marks or look-alikes."""
     return F.regexp_replace(F.lower(unify(text)), "[^a-z0-9]+", "")

@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mensura.schema import CATEGORIES, CONFIDENCE, INPUTS, OUTPUTS, TEXT_NAMES, UNITS
+from mensura.functions.keys import trim_spaces
+from mensura.schema import CATEGORIES, CONFIDENCE, INPUTS, OUTPUTS, TEXT_NAMES, UNITS, VARIABLE_UNITS
 
 
 def lookup(key: Column, table: Mapping[str, object]) -> Column:
@@ -29,7 +30,7 @@ def category(entity: Column) -> Column:
 
 def variable(entity: Column, names: Mapping[str, str] = TEXT_NAMES) -> Column:
     """The variable that an entity names, or null."""
-    return lookup(F.lower(F.trim(entity)), names)
+    return lookup(trim_spaces(F.lower(entity)), names)
 
 
 def confidence(method: Column) -> Column:
@@ -53,6 +54,11 @@ def role(name: Column) -> Column:
     return F.when(name.isin(*INPUTS), "Input").when(name.isin(*OUTPUTS), "Output").otherwise("Other")
 
 
+def unit(name: Column) -> Column:
+    """The unit in which the wide dataset holds a variable, or null."""
+    return lookup(name, VARIABLE_UNITS)
+
+
 def words(text: Column) -> Column:
     """Words of a text between blanks, without empty ones."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mensura.operators.quantiles import beside_medians
 from mensura.schema import ABSOLUTE_TOLERANCE, RELATIVE_TOLERANCE
 
 
@@ -23,22 +24,25 @@ def match_class(truth: Column, got: Column, relative: Column | None = None) -> C
 
 
 def detail(df: DataFrame, truth: str, got: str, relative: Column | None = None) -> DataFrame:
-    """df with match, abs_error and rel_error_pct (null where not defined)."""
+    """df with match, the raw error and relative_error, and abs_error and rel_error_pct rounded to four and two places (null where not defined)."""
     t, g = F.nanvl(F.col(truth), F.lit(None)), F.nanvl(F.col(got), F.lit(None))
     error = F.abs(g - t)
-    return df.withColumns({"match": match_class(F.col(truth), F.col(got), relative), "abs_error": F.round(error, 4), "rel_error_pct": F.round(100 * F.try_divide(error, F.abs(t)), 2)})
+    share = 100 * F.try_divide(error, F.abs(t))
+    return df.withColumns({"match": match_class(F.col(truth), F.col(got), relative), "error": error, "relative_error": share, "abs_error": F.round(error, 4), "rel_error_pct": F.round(share, 2)})
 
 
 def summary(detailed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """By keys: tp, fp, fn, precision, recall, f1 (three decimals, 0 where not defined), mean_abs_error and median_rel_error_pct.
+    """By keys: tp, fp, fn, precision, recall, f1 (three decimals, 0 where not defined), mean_abs_error (four) and median_rel_error_pct (one), of the raw errors.
 
     A value out of tolerance is a false positive only; a missing one a false negative only; rows without truth are skipped.
     """
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    counts = detailed.where(F.col("match").isNotNull()).groupBy(*keys).agg(
+    known = detailed.where(F.col("match").isNotNull())
+    counts = known.groupBy(*keys).agg(
         F.count_if(F.col("match") == "hit").alias("tp"), F.count_if(F.col("match") == "off").alias("fp"), F.count_if(F.col("match") == "miss").alias("fn"),
-        F.round(F.avg("abs_error"), 4).alias("mean_abs_error"), F.round(F.median("rel_error_pct"), 2).alias("median_rel_error_pct"),
+        F.round(F.avg("error"), 4).alias("mean_abs_error"),
     )
+    counts = beside_medians(counts, known, keys, {"_median": F.col("relative_error")}).withColumn("median_rel_error_pct", F.round("_median", 1))
     p, r = share(F.col("tp"), F.col("tp") + F.col("fp")), share(F.col("tp"), F.col("tp") + F.col("fn"))
     return counts.select(*keys, "tp", "fp", "fn", F.round(p, 3).alias("precision"), F.round(r, 3).alias("recall"), F.round(share(2 * p * r, p + r), 3).alias("f1"), "mean_abs_error", "median_rel_error_pct")
 

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mensura.functions.keys import trim_spaces
 from mensura.schema import MORE_NOISE, NOISE, RANGES
 
 
 def is_noise(entity: Column) -> Column:
     """True for entities that name nothing: under three letters, figure and table references, plain numbers, capital abbreviations, noise words. Null is noise."""
-    e = F.lower(F.trim(entity))
-    hit = (F.length(e) < 3) | e.rlike(r"^(fig\.?|figure|table|eq\.?)\s*\d*$") | e.rlike(r"^\d+\.?\d*$") | entity.rlike("^[A-Z]{2,6}$") | e.isin(*NOISE)
+    bare = trim_spaces(entity)
+    e = F.lower(bare)
+    hit = (F.length(e) < 3) | e.rlike(r"^(fig\.?|figure|table|eq\.?)\s*\d*$") | e.rlike(r"^\d+\.?\d*$") | bare.rlike("^[A-Z]{2,6}$") | e.isin(*NOISE)
     return F.coalesce(hit, F.lit(True))
 
 
@@ -33,8 +35,11 @@ def in_range(variable: Column, value: Column, ranges: Mapping[str, tuple[float,
 
 
 def nullify(df: DataFrame, variable: str = "normalized_variable", value: str = "value", unit: str = "unit", method: str = "relation_method", ranges: Mapping[str, tuple[float, float]] = RANGES) -> DataFrame:
-    """df with value, unit and method taken back (null, null, 'none') where the value holds no digit or is out of range."""
-    good = F.coalesce(F.col(value).rlike(r"(?U)\d"), F.lit(False)) & in_range(F.col(variable), F.col(value), ranges)
+    """df with value, unit and method taken back (null, null, 'none') where there is a value that holds no digit or is out of range.
+
+    Rows without a value stay as they are.
+    """
+    good = F.coalesce(F.col(value).rlike(r"(?U)\d"), F.lit(True)) & in_range(F.col(variable), F.col(value), ranges)
     return df.withColumns({value: F.when(good, F.col(value)), unit: F.when(good, F.col(unit)), method: F.when(good, F.col(method)).otherwise(F.lit("none"))})
 
 
@@ -55,12 +60,3 @@ def readable(df: DataFrame, text: str, confidence: str, least: int = 20, sure: f
     """Rows of text read off an image that are long and sure enough; null texts and confidences are not."""
     return df.where((F.length(text) >= least) & (F.col(confidence) >= sure))
 
-
-def supported(df: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
-    """Groups with at least so many rows: keys and n."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-
-
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
-    """df with each row's place in its group."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -7,17 +7,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mensura.operators.long import unpivot
+from mensura.session import cut
+
 NUMERIC = r"^-?\d+(\.\d+)?$"
 
 
 def _rows_of(y: np.ndarray, tolerance: float) -> np.ndarray:
-    """Row number of each word in reading order: a word joins the row if it is within the tolerance of the row's first word."""
-    out, row, anchor = np.empty(len(y), np.int64), -1, 0.0
-    for i, v in enumerate(y.tolist()):
-        if row < 0 or abs(v - anchor) > tolerance:
-            row, anchor = row + 1, v
-        out[i] = row
-    return out
+    """Row number of each word in reading order: a word joins the row if it is within the tolerance of the row's first word.
+
+    A step for each row: the next row begins at the first word that is too far from the row's first one.
+    """
+    starts, at = [], 0
+    while at < len(y):
+        starts.append(at)
+        ahead, width = at + 1, 64
+        while ahead < len(y):  # looks ahead in growing steps, as rows are short
+            far = np.abs(y[ahead : ahead + width] - y[at]) > tolerance
+            if far.any():
+                ahead += int(far.argmax())
+                break
+            ahead, width = ahead + width, 2 * width
+        at = min(ahead, len(y))
+    out = np.zeros(len(y), np.int64)
+    out[starts[1:]] = 1
+    return np.cumsum(out)
 
 
 def word_rows(words: DataFrame, page: str, tolerance: float = 4.0) -> DataFrame:
@@ -93,6 +107,19 @@ def table_blocks(rows: DataFrame, page: str, ratio: float = 0.3, columns: int =
     return blocks.select(page, F.row_number().over(Window.partitionBy(page).orderBy("_block")).alias("block_no"), "first_row", "last_row", "n_rows")
 
 
+def data_blocks(words: DataFrame, page: str, tolerance: float = 4.0, gap: float = 20.0, ratio: float = 0.3, columns: int = 3) -> DataFrame:
+    """(page, block_no, row_no, column_no, text): the cells of the tables that the words of pages make.
+
+    Words to rows, rows to a grid, numeric shares of the rows, tables among them (table_blocks), and their filled cells. Tables
+    without two rows and `columns` columns with something in them are left out.
+    """
+    cells = cut(grid(word_rows(words, page, tolerance), page, gap))
+    blocks = table_blocks(numeric_share(cells, page), page, ratio, columns)
+    inside = cells.join(blocks, page).where("row_no between first_row and last_row")
+    size = inside.groupBy(page, "block_no").agg(F.count_distinct("row_no").alias("_rows"), F.count_distinct("column_no").alias("_columns")).where(F.col("_columns") >= columns).where("_rows >= 2")
+    return inside.join(size, [page, "block_no"], "left_semi").select(page, F.col("block_no").cast("bigint").alias("block_no"), "row_no", "column_no", "text")
+
+
 def table_like(boxes: DataFrame, page: str, confident: Column, gap: float = 15.0, total: int = 16, rows: int = 4, columns: int = 3) -> DataFrame:
     """(page, n_boxes, n_rows, table_like) of pages of boxes (page, y).
 
@@ -130,24 +157,47 @@ def positional(df: DataFrame, order: list[str], columns: dict[str, tuple[str, ..
 
 
 def levelled_lines(lines: DataFrame, page: str, names: list[str], most: int = 7) -> DataFrame:
-    """(page, level, name, numbers): a table whose rows stand over several lines (page, line_no, line).
+    """(page, line_no, level, name, numbers, labelled): a table whose rows stand over several lines (page, line_no, line).
 
-    A line that is one letter A to D sets the level; a line that is one of the names opens a row, whose numbers stand on the
-    lines after it: labels such as '12ab' are passed over, any other text ends the row, and `most` numbers complete it. The
+    A line that is one letter A to D sets the level; below a level, a line that contains one of the names, letter case
+    aside, opens a row (name: the first of them), whose numbers stand on the lines after it: labels such as '12ab' are passed
+    over, any other text ends the row, and `most` numbers complete it. labelled: a label stood among its numbers. The
     state is carried by windows over the page's lines.
     """
     w = Window.partitionBy(page).orderBy("line_no")
     level = F.when(F.col("line").rlike("^[A-D]$"), F.col("line"))
-    opened = F.when(F.col("line").isin(*names), F.col("line_no"))
+    named = F.coalesce(*[F.when(F.contains(F.lower("line"), F.lit(n.lower())), F.lit(n)) for n in names])
     value = F.replace("line", F.lit(","), F.lit("."))
     number = F.when(value.rlike(r"^-?\d+(\.\d+)?$"), value.try_cast("double"))
-    kind = F.when(opened.isNotNull(), "open").when(number.isNotNull(), "number").when(F.col("line").rlike(r"^\d+[a-z]+$"), "label").otherwise("text")
-    state = lines.withColumns({"_level": F.last(level, True).over(w), "_open": F.last(opened, True).over(w), "_number": number, "_kind": kind})
+    state = lines.withColumns({"_level": F.last(level, True).over(w), "_name": named, "_number": number})
+    state = state.withColumn("_opens", F.when(F.col("_name").isNotNull() & F.col("_level").isNotNull(), F.col("line_no"))).withColumn("_open", F.last("_opens", True).over(w))
+    kind = F.when(F.col("_opens").isNotNull(), "open").when(F.col("_number").isNotNull(), "number").when(F.col("line").rlike(r"^\d+[a-z]+$"), "label").otherwise("text")
+    state = state.withColumn("_kind", kind)
     own = Window.partitionBy(page, "_open").orderBy("line_no")
     inside = state.where("_open is not null").withColumn("_ended", F.sum(F.when(F.col("_kind") == "text", 1).otherwise(0)).over(own)).where("_ended = 0")
     placed = inside.withColumn("_nth", F.sum(F.when(F.col("_kind") == "number", 1).otherwise(0)).over(own))
     rows = placed.groupBy(page, "_open").agg(
-        F.max(F.when(F.col("_kind") == "open", F.col("_level"))).alias("level"), F.max(F.when(F.col("_kind") == "open", F.col("line"))).alias("name"),
+        F.max(F.when(F.col("_kind") == "open", F.col("_level"))).alias("level"), F.max(F.when(F.col("_kind") == "open", F.col("_name"))).alias("name"),
         F.array_sort(F.collect_list(F.when((F.col("_kind") == "number") & (F.col("_nth") <= most), F.struct("line_no", "_number")))).alias("_n"),
+        F.coalesce(F.bool_or((F.col("_kind") == "label") & (F.col("_nth") < most)), F.lit(False)).alias("labelled"),
     )
-    return rows.select(page, F.col("_open").alias("line_no"), "level", "name", F.transform("_n", lambda n: n["_number"]).alias("numbers"))
+    return rows.select(page, F.col("_open").alias("line_no"), "level", "name", F.transform("_n", lambda n: n["_number"]).alias("numbers"), "labelled")
+
+
+#: Columns of a levelled table's numbers; the second one only stands in rows of seven numbers without a label.
+LEVELLED = ("viscosity_9_5s1_mpas", "targeted_mpas", "viscosity_50s1_mpas", "viscosity_500s1_mpas", "shear_thinning_index", "d32_um", "d43_um")
+
+
+def levelled_columns(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the columns LEVELLED of rows of levelled_lines with at least six numbers."""
+    n, whole = F.col("numbers"), (F.size("numbers") == 7) & ~F.col("labelled")
+    at = lambda i: F.get(n, F.when(whole, i).otherwise(0 if i == 0 else i - 1))
+    columns = [F.when(whole, F.get(n, F.lit(1))).alias(c) if i == 1 else at(i).alias(c) for i, c in enumerate(LEVELLED)]
+    return rows.where(F.size("numbers") >= 6).select(*keys, *columns)
+
+
+def levelled_observations(columns: DataFrame, keys: list[str], fat: Column) -> DataFrame:
+    """keys, variable, value, unit, relation_method, confidence: the long form of a levelled table; viscosity in Pa·s, null values left out."""
+    pairs = [("Fat_concentration_wt%", fat, "wt%"), ("Viscosity_Pa_s", F.col("viscosity_50s1_mpas") / 1000, "Pa.s"), ("d90_µm", F.col("d43_um"), "µm")]
+    units = F.coalesce(*[F.when(F.col("variable") == v, F.lit(u)) for v, _, u in pairs])
+    return unpivot(columns, keys, [(v, x) for v, x, _ in pairs]).select(*keys, "variable", "value", units.alias("unit"), F.lit("table").alias("relation_method"), F.lit(0.95).alias("confidence"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,14 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mensura.operators import evaluate, wide
+from mensura.session import cut
+
+#: Training rows that one task goes over.
+ROWS_A_TASK = 100_000
+#: Rows that are left out one by one; more are an error.
+MOST_LEFT_OUT = 200
+
 
 def ridge_coefficients(df: DataFrame, features: Sequence[str], target: str, alpha: float = 10.0) -> DataFrame:
     """(term, coefficient) of a ridge regression with intercept and without scaling.
@@ -49,8 +57,12 @@ def boosted(features: str, label: str, rounds: int = 200, step: float = 0.05, de
 
 
 def train(df: DataFrame, features: Sequence[str], target: str, model) -> PipelineModel:  # noqa: ANN001
-    """A fitted pipeline of features in order and a model on log(1 + target); rows without a target are left out, null features must be filled before."""
-    rows = df.where(F.col(target).isNotNull()).withColumn("label", F.log1p(target))
+    """A fitted pipeline of features in order and a model on log(1 + target); rows without a target are left out, null features must be filled before.
+
+    The rows are written once and spread by their number, as trees go over them many times.
+    """
+    rows = cut(df.where(F.col(target).isNotNull()).select(*features, F.log1p(target).alias("label")))
+    rows = rows.repartition(1 + rows.count() // ROWS_A_TASK)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), model]).fit(rows)
 
 
@@ -111,6 +123,62 @@ def compare(train_: DataFrame, test: DataFrame, key: str, features: Sequence[str
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def leave_each_out(df: DataFrame, key: str, features: Sequence[str], target: str, models: Mapping[str, object]) -> DataFrame:
+    """The columns of compare(), each row predicted by models of all others: a fit of every model for each row.
+
+    For tables too small to hold rows out, of at most MOST_LEFT_OUT rows with a target; more are an error, as a hold-out serves them.
+    """
+    rows = df.where(F.col(target).isNotNull())
+    keys = [r[0] for r in rows.select(key).limit(MOST_LEFT_OUT + 1).collect()]
+    if len(keys) > MOST_LEFT_OUT:
+        raise ValueError(f"more than {MOST_LEFT_OUT} rows to leave out one by one: name rows to hold out")
+    parts = [compare(rows.where(~F.col(key).eqNullSafe(k)), rows.where(F.col(key).eqNullSafe(k)), key, features, target, models) for k in keys]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def weights(model: PipelineModel) -> Sequence[float]:
+    """The fitted model's importances of its features, or its coefficients."""
+    last = model.stages[-1]
+    return (last.featureImportances if hasattr(last, "featureImportances") else last.coefficients).toArray().tolist()
+
+
+def study(df: DataFrame, key: str, features: Sequence[str], targets: Mapping[str, int], held: Column, models: Callable[[int, float], Mapping[str, object]], folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Each target's models compared, the best one chosen, refitted and (with a folder) saved as folder/model_<target>.
+
+    df: a row per key, null features allowed; targets: column -> least number of rows that have it, else it is skipped.
+    Per target: the rows that have it, null features filled with these rows' medians; rows on which `held` is true are predicted
+    by models of the others if there are at least 5 of them and 10 others, else each row by models of all others. The
+    best is the one of highest r2 (the first in order on ties), refitted on all rows. models: number of training rows and
+    their label's deviation -> name -> estimator.
+
+    Returns (target, split, model, n, rmse, mae, r2, best, importances as (feature, share), largest first, of the best one)
+    and the best models' predictions (key, target, best_model, actual, predicted, abs_error).
+    """
+    spark, scores, chosen = df.sparkSession, [], []
+    have = df.agg(*[F.count(t).alias(t) for t in targets]).first() if targets else {}
+    for target, least in targets.items():
+        if have[target] < max(least, 2):
+            continue
+        rows = cut(wide.imputed(df.where(F.col(target).isNotNull()), features).select(key, *features, target, F.coalesce(held, F.lit(False)).alias("_held")))
+        parts = hold_out(rows, F.col("_held"), target)
+        moments = lambda part: part.agg(F.count("*").alias("n"), F.stddev_pop(F.log1p(target)).alias("d")).first()
+        m = moments(parts[0] if parts else rows)
+        named = models(m.n, m.d or 1.0)
+        predicted = cut(compare(*parts, key, features, target, named) if parts else leave_each_out(rows, key, features, target, named))
+        metrics = evaluate.regression_metrics(predicted, ["model"], "actual", "predicted").collect()  # a row a model
+        best = min(metrics, key=lambda r: (-(r.r2 if r.r2 is not None else float("-inf")), list(named).index(r.model))).model
+        m = moments(rows)
+        final = train(rows, features, target, models(m.n, m.d or 1.0)[best])
+        if folder:
+            save(final, f"{folder}/model_{target}")
+        shares = importances(features, weights(final))
+        scores += [(target, "hold-out" if parts else "leave-one-out", r.model, r.n, r.rmse, r.mae, r.r2, r.model == best, shares if r.model == best else None) for r in metrics]
+        chosen.append(predicted.where(F.col("model") == best).select(key, "target", F.col("model").alias("best_model"), "actual", "predicted", "abs_error"))
+    table = spark.createDataFrame(scores, "target string, split string, model string, n bigint, rmse double, mae double, r2 double, best boolean, importances array<struct<feature: string, share: double>>")
+    empty = f"`{key}` {df.schema[key].dataType.simpleString()}, target string, best_model string, actual double, predicted double, abs_error double"
+    return table, functools.reduce(DataFrame.unionByName, chosen) if chosen else spark.createDataFrame([], empty)
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

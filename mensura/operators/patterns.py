@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mensura.operators.quantiles import medians
 from mensura.schema import IMAGE_PATTERNS, TEXT_PATTERNS
 
 #: Case-insensitive, with Unicode's letters, digits and blanks.
@@ -94,7 +95,8 @@ def feature_medians(df: DataFrame, keys: Sequence[str], text: str, patterns: Seq
     """keys and the median of all values that each feature's pattern finds in the group's texts (thousands marks removed); null without any."""
     each = F.flatten(F.array(*[F.transform(F.regexp_extract_all(F.col(text), F.lit(FLAGS + p), 1), _feature(n)) for n, p in patterns]))
     rows = df.select(*keys, F.explode_outer(each).alias("_f"))
-    return rows.groupBy(*keys).agg(*[F.median(F.when(F.col("_f.name") == n, F.col("_f.value"))).alias(names[n]) for n, _ in patterns])
+    middle = medians(rows.select(*keys, F.col("_f.name").alias("_name"), F.col("_f.value").alias("_value")), [*keys, "_name"], {"_median": F.col("_value")})
+    return middle.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_median"))).alias(names[n]) for n, _ in patterns])
 
 
 def _feature(name: str):  # noqa: ANN202

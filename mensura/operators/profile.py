@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mensura.session import cut
+
 #: A mask is rare in a column and load if a smaller share of the filled values has it.
 RARE_SHARE = 0.01
 #: Half width, in share of rank, of the bracket in which an exact quantile is looked for.
@@ -24,11 +26,6 @@ def mask(text: Column) -> Column:
     return F.regexp_replace(m, r"(?U)\s+", " ")
 
 
-def number_mask(text: Column) -> Column:
-    """Mask of a number: a 9 for each digit, so that precision and magnitude show."""
-    return F.regexp_replace(text, "[0-9]", "9")
-
-
 def cells(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
     """(load, column_name, value as text, number if numeric, n): each distinct filled value of each load and column, with its rows.
 
@@ -114,14 +111,14 @@ def profile(df: DataFrame, load: str, columns: Sequence[str], rare: float = RARE
     the load with the next smaller id; null for the first). NaN counts as null. A column of nulls has zero counts
     and null statistics. A null load is a load of its own and comes first. Empty input gives an empty table.
     """
-    held = cells(df, load, columns)
+    held = cut(cells(df, load, columns))  # every figure but the null share comes from these
     totals = df.groupBy(F.col(load).alias("load_id")).agg(F.count("*").alias("n_rows"))
     base = totals.withColumn("column_name", F.explode(F.array(*map(F.lit, columns))))
     stats = held.groupBy("load_id", "column_name").agg(
         F.sum("n").alias("n_filled"), F.count("*").alias("n_distinct"), F.min("number").alias("min_number"), F.max("number").alias("max_number"),
         F.min(F.when(F.col("number").isNull(), F.col("value"))).alias("min_value"), F.max(F.when(F.col("number").isNull(), F.col("value"))).alias("max_value"),
     )
-    masks = held.groupBy("load_id", "column_name", F.when(F.col("number").isNotNull(), number_mask(F.col("value"))).otherwise(mask(F.col("value"))).alias("mask")).agg(F.sum("n").alias("n"))
+    masks = held.groupBy("load_id", "column_name", mask(F.col("value")).alias("mask")).agg(F.sum("n").alias("n"))
     share = masks.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("load_id", "column_name")))
     mined = share.groupBy("load_id", "column_name").agg(
         F.min_by("mask", F.struct(-F.col("n"), "mask")).alias("dominant_mask"), F.count("*").alias("n_masks"),

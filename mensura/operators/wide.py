@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mensura.operators.quantiles import beside_medians, medians
+
 #: A number as the engines agree on it: no 'nan', 'inf', type letters or digit marks.
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -26,7 +28,8 @@ def median_pivot(df: DataFrame, entity: str, variable: str, value: str, variable
     rows = df.where(F.col(value).isNotNull() & F.col(entity).isNotNull())
     if not keep_unmapped:
         rows = rows.where(F.col(variable).isin(*variables))
-    return rows.groupBy(entity).agg(*[F.median(F.when(F.col(variable) == v, F.col(value))).alias(c) for v, c in variables.items()])
+    cells = medians(rows.select(entity, F.when(F.col(variable).isin(*variables), F.col(variable)).alias("_variable"), F.col(value).alias("_value")), [entity, "_variable"], {"_median": F.col("_value")})
+    return cells.groupBy(entity).agg(*[F.max(F.when(F.col("_variable") == v, F.col("_median"))).alias(c) for v, c in variables.items()])
 
 
 def rescaled(df: DataFrame, columns: Sequence[str], above: float = 10.0, factor: float = 10.0, places: int = 3) -> DataFrame:
@@ -46,7 +49,9 @@ def melted(wide: DataFrame, keys: Sequence[str], columns: Sequence[str], variabl
 
 def coverage(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
     """By column: n_filled, pct_filled (one decimal) and median (four decimals) over the rows."""
-    return melted(wide, [], columns).groupBy("variable").agg(F.count("value").alias("n_filled"), F.round(100 * F.count("value") / F.count("*"), 1).alias("pct_filled"), F.round(F.median("value"), 4).alias("median_value"))
+    rows = melted(wide, [], columns)
+    counts = rows.groupBy("variable").agg(F.count("value").alias("n_filled"), F.round(100 * F.count("value") / F.count("*"), 1).alias("pct_filled"))
+    return beside_medians(counts, rows, ["variable"], {"_median": F.col("value")}).select("variable", "n_filled", "pct_filled", F.round("_median", 4).alias("median_value"))
 
 
 def shares(df: DataFrame, key: str | Column, name: str = "share") -> DataFrame:
@@ -88,5 +93,5 @@ def row_median(columns: Sequence[str], factor: float = 1.0) -> Column:
 
 def imputed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """df with nulls of the columns replaced by the column's median over all rows (zero where it has no value). One row of medians comes to the driver."""
-    medians = df.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(c) for c in columns]).first()
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c]))) for c in columns})
+    middle = medians(df, [], {c: F.col(c) for c in columns}).first()
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(middle[c] or 0.0))) for c in columns})

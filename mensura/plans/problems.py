@@ -49,16 +49,18 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def _resolved(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, str]]:
     guide = table(spark, folder, "variable_guide")
     names = variable_names(guide)
-    rows = spread(table(spark, folder, "extended_with_ocr").select("paper", "normalized_variable", "value")).select(file_key(F.col("paper")).alias("paper_key"), resolve_variable(F.col("normalized_variable"), names).alias("normalized_variable"), F.when(filled(F.col("value")), F.col("value")).alias("value"))
+    rows = spread(table(spark, folder, "extended_with_ocr").select("paper", "normalized_variable", "value")).select(file_key(F.col("paper")).alias("paper_key"), F.coalesce(resolve_variable(F.col("normalized_variable"), names), F.when(filled(F.col("normalized_variable")), strip(F.col("normalized_variable")))).alias("normalized_variable"), F.when(filled(F.col("value")), F.col("value")).alias("value"))
     return rows, {v: ascii_column(v) for v in sorted(set(names.values()))}
 
 
 def p4_wide(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per paper with a double column per variable, cast failures by variable beside them."""
+    """One row per paper with a double column per variable; beside them, as text, the cast failures by variable, and the
+    values of attributes that variable_guide doesn't have, by their spelling."""
     rows, columns = _resolved(spark, folder)
     wide = to_wide(rows, "paper_key", "normalized_variable", "value", columns, quantity(F.col("value")))
     papers = paper_keys(table(spark, folder, "paper_headers"))
-    return wide.join(papers, "paper_key").select("paper", *columns.values(), "cast_failures")
+    listed = lambda c: F.coalesce(F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), "|"), F.lit(""))
+    return wide.join(papers, "paper_key").select("paper", *columns.values(), listed("cast_failures").alias("cast_failures"), listed("other").alias("other"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,15 +70,17 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_cast_failures(spark: SparkSession, folder: str) -> DataFrame:
     """Each filled value that is no quantity, by paper and variable, with its rows."""
-    rows, _ = _resolved(spark, folder)
+    rows, columns = _resolved(spark, folder)
     papers = paper_keys(table(spark, folder, "paper_headers"))
-    return cast_failures(rows.where("normalized_variable is not null"), "paper_key", "normalized_variable", "value", quantity(F.col("value"))).join(papers, "paper_key").select("paper", "normalized_variable", "value", "n")
+    return cast_failures(rows.where(F.col("normalized_variable").isin(*columns)), "paper_key", "normalized_variable", "value", quantity(F.col("value"))).join(papers, "paper_key").select("paper", "normalized_variable", "value", "n")
 
 
 def p5_profile(spark: SparkSession, folder: str) -> DataFrame:
     """The profile of every column of wide_format_dataset, load by load."""
     df = table(spark, folder, "wide_format_dataset")
-    return profile(df, "load_id", [c for c in df.columns if c != "load_id"]).withColumn("load_id", F.col("load_id").cast("long"))
+    out = profile(df, "load_id", [c for c in df.columns if c != "load_id"])
+    rare = F.coalesce(F.array_join(F.transform(F.map_entries("rare_masks"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), "|"), F.lit(""))
+    return out.withColumns({"load_id": F.col("load_id").cast("long"), "rare_masks": rare, "mask_divergence": F.round("mask_divergence", 9)})
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

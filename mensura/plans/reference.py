@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.functions.names import ascii_column
 from mensura.operators import classify, evaluate, filters, layout, ml, patterns, text, wide
 from mensura.operators.long import union, unpivot
+from mensura.operators.quantiles import beside_medians, medians
 from mensura.plans import extraction
-from mensura.schema import FEATURE_PATTERNS, FEATURES, IMAGE_NAMES, IMAGE_RANGED, OIL_TYPES, OIL_WORDS, PROTEIN_WORDS, RANGES, SENSORY, TARGETS
+from mensura.schema import EVALUATED, FEATURE_PATTERNS, FEATURES, IMAGE_NAMES, IMAGE_RANGED, INPUTS, OIL_TYPES, OIL_WORDS, OUTPUTS, PROTEIN_WORDS, RANGES, SENSORY, TARGETS
 from mensura.session import cut
 from mensura.sources.files import numbered
 from mensura.sources.tables import spread, table
@@ -87,8 +89,8 @@ def distinct_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def value_stats(spark: SparkSession, folder: str) -> DataFrame:
     rows = _observations(spark, folder).where("value is not null and variable is not null")
-    stats = rows.groupBy("variable").agg(F.count("*").alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.median("value").alias("median_value"))
-    return stats.where("n >= 3")
+    stats = rows.groupBy("variable").agg(F.count("*").alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value")).where("n >= 3")
+    return beside_medians(stats, rows, ["variable"], {"median_value": F.col("value")})
 
 
 def histogram_bins(spark: SparkSession, folder: str) -> DataFrame:
@@ -173,7 +175,7 @@ def proximity_link(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def axis_tick_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return filters.without_ticks(_observations(spark, folder).where("source is not null"), ["paper"], "value_raw").select("row_id", "value_raw")
+    return filters.without_ticks(_observations(spark, folder).where("source is not null"), ["paper", "source"], "value_raw").select("row_id", "value_raw")
 
 
 def digit_repair(spark: SparkSession, folder: str) -> DataFrame:
@@ -200,7 +202,7 @@ def union_observations(spark: SparkSession, folder: str) -> DataFrame:
 
 def group_median(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "example_data").withColumn("study", F.trim("study_id"))
-    return rows.groupBy("study").agg(*[F.median(F.nanvl(F.col(c), F.lit(None).cast("double"))).alias(c) for c in CURATED])
+    return medians(rows, ["study"], {c: F.col(c) for c in CURATED})
 
 
 def row_median(spark: SparkSession, folder: str) -> DataFrame:
@@ -210,7 +212,10 @@ def row_median(spark: SparkSession, folder: str) -> DataFrame:
 def design_outputs_join(spark: SparkSession, folder: str) -> DataFrame:
     design = table(spark, folder, "example_data").select(F.trim("study_id").alias("study_id"), "row_no", "oil_type")
     outputs = table(spark, folder, "evaluation_results").select("study_id", "variable", "verdict")
-    return design.join(outputs, "study_id").groupBy("study_id", "variable", "verdict").agg(F.count("*").alias("n_rows"), F.min("oil_type").alias("first_oil"))
+    # each side is counted first, so that a study's rows aren't paired
+    runs = design.groupBy("study_id").agg(F.count("*").alias("_runs"), F.min("oil_type").alias("first_oil"))
+    found = outputs.groupBy("study_id", "variable", "verdict").agg(F.count("*").alias("_found"))
+    return found.join(runs, "study_id").select("study_id", "variable", "verdict", (F.col("_runs") * F.col("_found")).alias("n_rows"), "first_oil")
 
 
 def key_mapping_lookup(spark: SparkSession, folder: str) -> DataFrame:
@@ -238,22 +243,103 @@ def eval_summary(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.summary(_detail(spark, folder), ["variable"])
 
 
+def truth_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """Collected against extracted values of five variables: each study's medians, through the paper that prints its author and
+    year (of several the first by name), against the paper's medians. Rows without a collected value can't be judged and have a null match."""
+    curated = table(spark, folder, "example_data").withColumn("study_id", F.trim("study_id"))
+    sources = {"d90_µm": ("d90_um",), "Viscosity_Pa_s": VISCOSITIES, "Sensory_thickness": ("mean_thickness_10",), "Sensory_creaminess": ("mean_creaminess_10",), "Temperature_C": ("sample_preparation_temperature_c", "viscosity_measurement_temperature_c")}
+    columns = [c for cs in sources.values() for c in cs]
+    study = medians(curated, ["study_id"], {c: F.col(c) for c in columns})
+    truth = study.select("study_id", *[wide.row_median(sources[v], factor).alias(VARIABLES[v]) for v, factor, _ in EVALUATED])
+    headers = table(spark, folder, "paper_headers").select("paper", F.regexp_extract("year_line", r"((?:19|20)[0-9]{2})", 1).alias("_year"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("author_line"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("_author"))
+    ids = curated.select("study_id", F.regexp_extract(F.lower("study_id"), "^[a-z]+", 0).alias("_author"), F.regexp_extract("study_id", r"((?:19|20)[0-9]{2})", 1).alias("_year")).where("_year <> ''").distinct()
+    named = ids.join(headers, ["_author", "_year"]).groupBy("study_id").agg(F.min("paper").alias("paper"))
+    got = wide.rescaled(_pivot(spark, folder), [VARIABLES[v] for v in SENSORY]).select("paper", *[F.col(VARIABLES[v]).alias(f"_{VARIABLES[v]}") for v, _, _ in EVALUATED])
+    both = truth.join(named, "study_id").join(got, "paper", "left")
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(VARIABLES[v]).alias("gt"), F.col(f"_{VARIABLES[v]}").alias("got"), F.lit(r).alias("relative")) for v, _, r in EVALUATED]))
+    rows = both.select("study_id", "paper", each.alias("_e")).select("study_id", "paper", "_e.*")
+    return evaluate.detail(rows, "gt", "got", F.col("relative"))
+
+
+def truth_detail(spark: SparkSession, folder: str) -> DataFrame:
+    figure = lambda c, places: F.round(F.col(c) + 1e-9, places)  # noqa: E731  (halves go up, whatever the last bit of a sum)
+    rows = truth_evaluation(spark, folder).where("match is not null")
+    return rows.select("variable", "study_id", figure("gt", 4).alias("gt_value"), figure("got", 4).alias("pipeline_value"), figure("error", 4).alias("abs_error"), figure("relative_error", 2).alias("rel_error_pct"), "match")
+
+
+def truth_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.summary(cut(truth_evaluation(spark, folder).select("variable", "match", "error", "relative_error")), ["variable"])
+
+
+def _images(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Images with boxes of text, made of lineitem's figures: an image per part, sizes and texts by line."""
+    items = numbered(table(spark, folder, "lineitem"), ["l_partkey"], ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"])
+    paper, source = F.concat(F.lit("p"), F.col("l_partkey") % 40), F.concat(F.lit("img"), "l_partkey")
+    number = F.col("l_quantity").cast("int").cast("string")
+    words = F.element_at(F.array(F.concat(number, F.lit(" °C")), F.concat(number, F.lit("O rpm")), F.concat(number, F.lit(" MPa")), F.concat(number, F.lit("% fat")), F.concat(number, F.lit(",5 mL")), F.concat(F.lit("d90 = "), number, F.lit(" nm"))), (1 + F.col("l_orderkey") % 6).cast("int"))
+    boxes = items.select(paper.alias("paper"), source.alias("source"), "nth", ((F.col("l_orderkey") % 8) * 20).cast("double").alias("y"), words.alias("text"), (1 - F.col("l_discount") * 3).alias("conf"))
+    parts = table(spark, folder, "part").select(F.concat(F.lit("p"), F.col("p_partkey") % 40).alias("paper"), F.concat(F.lit("img"), "p_partkey").alias("source"), (F.col("p_size") * 20).alias("width"), (100 + F.col("p_partkey") % 400).alias("height"))
+    return parts, boxes
+
+
+def image_enrichment(spark: SparkSession, folder: str) -> DataFrame:
+    """Observations of images by variable, from boxes of text."""
+    rows, _ = extraction.image_observations(*_images(spark, folder))
+    return rows.groupBy("normalized_variable", "unit").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_images"), F.sum("value").alias("total"))
+
+
+def image_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Images, useful images and rows of each paper."""
+    return extraction.image_observations(*_images(spark, folder))[1]
+
+
+def data_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables that numbers on pages make, with their cells."""
+    cells = layout.data_blocks(_boxes(spark, folder), "page")
+    return cells.groupBy("page", "block_no").agg(F.count_distinct("row_no").alias("n_filled_rows"), F.count_distinct("column_no").alias("n_columns"), F.count("*").alias("n_cells"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def variable_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """The variables that have values: inputs, outputs, then others, each in its usual order, with label, unit and role."""
+    name = F.col("variable")
+    order = F.coalesce(*[F.when(name == v, i) for i, v in enumerate((*INPUTS, *OUTPUTS))], F.lit(len(INPUTS) + len(OUTPUTS)))
+    rows = _observations(spark, folder).where("value is not null and variable is not null").groupBy("variable").agg(F.count("*").alias("n_values"), F.count_distinct("paper").alias("n_papers"))
+    return rows.select("variable", order.alias("place"), text.variable_label(name).alias("label"), classify.unit(name).alias("unit"), classify.role(name).alias("var_role"), "n_values", "n_papers")
+
+
 def corpus_observations(spark: SparkSession, folder: str) -> DataFrame:
     """All observations that the whole texts of documents give, counted by variable and method."""
-    found = extraction.observations(spread(table(spark, folder, "documents").select("paper", "text")))
-    return found.groupBy("normalized_variable", "relation_method").agg(F.count("*").alias("n"), F.count("value").alias("n_numbers"), F.round(F.median("value"), 6).alias("median_value"))
+    found = cut(extraction.observations(spread(table(spark, folder, "documents").select("paper", "text"))).select("normalized_variable", "relation_method", "value"))
+    keys = ["normalized_variable", "relation_method"]
+    counts = found.groupBy(*keys).agg(F.count("*").alias("n"), F.count("value").alias("n_numbers"))
+    return beside_medians(counts, found, keys, {"median_value": F.col("value")}).withColumn("median_value", F.round("median_value", 6))
+
+
+def _held_papers(rows: DataFrame) -> Column:
+    """The hold-out list of these tables: of each target five papers, those with most targets, of several the first by name."""
+    targets = [VARIABLES[v] for v in TARGETS]
+    filled = functools.reduce(lambda a, b: a + b, [F.col(t).isNotNull().cast("int") for t in targets])
+    firsts = [rows.where(F.col(t).isNotNull()).orderBy(F.desc(filled), "paper").limit(5).select("paper") for t in targets]
+    return F.col("paper").isin([r.paper for r in functools.reduce(DataFrame.unionByName, firsts).distinct().collect()])
+
+
+def _modelled(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str], dict[str, int]]:
+    """The wide dataset as the models take it, with its features (all that are measured columns) and targets."""
+    features, targets = [VARIABLES[v] for v in FEATURES if v in VARIABLES], {VARIABLES[v]: n for v, n in TARGETS.items()}
+    rows = wide.rescaled(_pivot(spark, folder), [VARIABLES[v] for v in SENSORY]).select("paper", *features, *targets)
+    return cut(rows), features, targets
+
+
+def _models(n: int, deviation: float) -> dict[str, object]:
+    """The three models with the reference's parameters; trees as deep as the library's limit of 30."""
+    return {"forest": ml.forest("features", "label", depth=30), "boosted": ml.boosted("features", "label"), "ridge": ml.ridge(10.0, n, deviation, "features", "label")}
 
 
 def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    """Held-out errors of three models of viscosity; papers of one publisher's series are held out."""
-    features = [VARIABLES[v] for v in ("Temperature_C", "Pressure_MPa", "Fat_concentration_wt%")]
-    target = VARIABLES["Viscosity_Pa_s"]
-    rows = wide.imputed(_pivot(spark, folder), features).select("paper", *features, target)
-    parts = ml.hold_out(rows, F.lower("paper").contains("emulsci"), target, 1, 1)
-    train, test = parts if parts else (rows.where(F.col(target).isNotNull()),) * 2
-    moments = train.agg(F.count("*").alias("n"), F.stddev_pop(F.log1p(target)).alias("d")).first()
-    models = {"ridge": ml.ridge(10.0, moments.n, moments.d or 1.0, "features", "label"), "forest": ml.forest("features", "label", trees=30, depth=5), "boosted": ml.boosted("features", "label", rounds=10)}
-    return evaluate.regression_metrics(ml.compare(train, test, "paper", features, target, models), ["target", "model"], "actual", "predicted")
+    """Each target's three models on held-out papers, the best one marked, with the importances of its refit."""
+    rows, features, targets = _modelled(spark, folder)
+    scores, _ = ml.study(rows, "paper", features, targets, _held_papers(rows), _models)
+    return scores.withColumn("importances", F.array_join(F.transform("importances", lambda x: F.concat_ws(":", x["feature"], F.round(x["share"], 4).cast("string"))), "|"))
 
 
 def _boxes(spark: SparkSession, folder: str) -> DataFrame:
@@ -285,8 +371,8 @@ def table_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def table_layout_gate(spark: SparkSession, folder: str) -> DataFrame:
-    boxes = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("page"), ((F.col("l_partkey") % 50) * 9).cast("double").alias("y"), F.col("l_discount").alias("conf"))
-    return layout.table_like(boxes, "page", F.col("conf") >= 0.02, total=4, rows=2, columns=1).withColumn("n_rows", F.col("n_rows").cast("bigint"))
+    boxes = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("page"), ((F.col("l_suppkey") % 50) * 9).cast("double").alias("y"), F.col("l_discount").alias("conf"))
+    return layout.table_like(boxes, "page", F.col("conf") >= 0.02).withColumn("n_rows", F.col("n_rows").cast("bigint"))
 
 
 def numeric_cells(spark: SparkSession, folder: str) -> DataFrame:
@@ -342,33 +428,60 @@ def ridge_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 def ridge_leave_one_out(spark: SparkSession, folder: str) -> DataFrame:
     """Held-out predictions of viscosity for every paper that has one."""
-    features = [VARIABLES[v] for v in ("Temperature_C", "Pressure_MPa", "Fat_concentration_wt%")]
-    return ml.leave_one_out(wide.imputed(_pivot(spark, folder), features), "paper", features, VARIABLES["Viscosity_Pa_s"])
+    rows, features, _ = _modelled(spark, folder)
+    target = VARIABLES["Viscosity_Pa_s"]
+    return ml.leave_one_out(wide.imputed(rows.where(F.col(target).isNotNull()), features), "paper", features, target)
 
 
-def _predictions(spark: SparkSession, folder: str, model) -> DataFrame:  # noqa: ANN001
+def _predicted(spark: SparkSession, folder: str, model) -> DataFrame:  # noqa: ANN001
     """Each target of every paper by a model on all features, fitted on the papers that have the target.
 
-    Features that are no measured column of the tables are left out; a target that too few papers have is null.
+    Features that are no measured column of the tables are left out; null ones are filled with the medians of the papers that have
+    the target. A target that too few papers have is null.
     """
-    features, targets = [VARIABLES[v] for v in FEATURES if v in VARIABLES], {VARIABLES[v]: n for v, n in TARGETS.items()}
-    out = cut(wide.imputed(_pivot(spark, folder), features).select("paper", *features, *targets))
-    have = out.agg(*[F.count(t).alias(t) for t in targets]).first()
+    given, features, targets = _modelled(spark, folder)
+    have = given.agg(*[F.count(t).alias(t) for t in targets]).first()
     names = {t: "predicted_viscosity" if t == VARIABLES["Viscosity_Pa_s"] else f"predicted_{t}" for t in targets}
-    given = out
+    out = given.select("paper", *features)
     for target, least in targets.items():
-        out = ml.predict(ml.train(given, features, target, model), out, features, names[target]) if have[target] >= least else out.withColumn(names[target], F.lit(None).cast("double"))
+        if have[target] >= least:
+            known = given.where(F.col(target).isNotNull())
+            middle = medians(known, [], {c: F.col(c) for c in features}).first().asDict()
+            fill = lambda df, m=middle: df.fillna({c: v or 0.0 for c, v in m.items()})
+            got = ml.predict(ml.train(fill(known), features, target, model), fill(given.select("paper", *features)), features, names[target])
+            out = out.join(got.select("paper", names[target]), "paper", "left")
+        else:
+            out = out.withColumn(names[target], F.lit(None).cast("double"))
     return out.select("paper", *names.values())
 
 
 def forest_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """The targets of every paper by forests of 300 trees, as deep as the library's limit of 30."""
-    return _predictions(spark, folder, ml.forest("features", "label", depth=30))
+    return _predicted(spark, folder, ml.forest("features", "label", depth=30))
 
 
 def boosted_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """The targets of every paper by 200 rounds of boosted trees."""
-    return _predictions(spark, folder, ml.boosted("features", "label"))
+    return _predicted(spark, folder, ml.boosted("features", "label"))
+
+
+def new_paper_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Papers' texts to predicted targets: features read from each paper's texts, 0 where there is none, into a ridge of each
+    target; beside them the values extracted, where there are any."""
+    rows, features, targets = _modelled(spark, folder)
+    docs = spread(table(spark, folder, "documents").where("paper is not null").select("paper", "text"))
+    found = patterns.feature_medians(docs, ["paper"], "text", FEATURE_PATTERNS, {n: VARIABLES[n] for n, _ in FEATURE_PATTERNS})
+    have = rows.agg(*[F.count(t).alias(t) for t in targets]).first()
+    seen = cut(found.select("paper", *features))
+    out, predicted = seen, {}
+    for target, least in targets.items():
+        if have[target] >= least:
+            known = wide.imputed(rows.where(F.col(target).isNotNull()), features)
+            m = known.agg(F.count("*").alias("n"), F.stddev_pop(F.log1p(target)).alias("d")).first()
+            got = ml.predict(ml.train(known, features, target, ml.ridge(10.0, m.n, m.d or 1.0, "features", "label")), seen, features, f"_{target}")
+            out = out.join(got.select("paper", f"_{target}"), "paper", "left")
+            predicted[target] = f"_{target}"
+    return ml.summary_row(out.join(rows.select("paper", *targets), "paper", "left"), "paper", features, predicted, {t: t for t in predicted})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -378,6 +491,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pattern_extract, pattern_extract_images, regex_distinct_hits, feature_medians, keyword_flags, body_slice, clean_text, sentence_split, document_lines, noise_filter, classify_normalise, range_filter,
         nullified_values, proximity_link, axis_tick_filter, digit_repair, labels, unpivot_long, union_observations, group_median, row_median, design_outputs_join, key_mapping_lookup, semi_anti_split, eval_detail,
         eval_summary, word_rows, word_grid, table_blocks, table_layout_gate, numeric_cells, design_matrix, levelled_table, corpus_observations, regression_metrics, best_model, impute_median, model_comparison, ridge_fit, ridge_leave_one_out,
-        forest_predictions, boosted_predictions,
+        forest_predictions, boosted_predictions, new_paper_predictions, truth_detail, truth_summary, image_enrichment, image_statistics, data_blocks, variable_catalogue,
     )
 }

@@ -39,7 +39,7 @@ TEXT_PATTERNS = (
     ("Shear_rate_s-1", rf"{_NUM}\s*s[\-⁻]1", "s⁻¹"),
     ("Particle_size_µm", rf"{_NUM}\s*(µm|nm|mm)\b", None),
 )
-#: The library for text read off images: no 'pre-trained' and a percentage of fat at the end.
+#: The library for text read off images: no 'pre-trained' and a percentage of fat at the end; given as the difference, since the rest is the same list.
 IMAGE_PATTERNS = (
     *[(v, p.replace(r"(?:pre.trained\s+)?", ""), u) for v, p, u in TEXT_PATTERNS],
     ("Fat_concentration_wt%", rf"{_NUM}\s*%\s*(?:fat|oil|lipid)", "wt%"),
@@ -102,7 +102,7 @@ TEXT_NAMES = {
     "friction coefficient": "Friction_coefficient", "lubrication": "Lubrication_property", "lubricating effect": "Lubrication_property", "panelists": "Participants_n", "participants": "Participants_n",
     "creaminess": "Sensory_creaminess", "smoothness": "Sensory_smoothness", "thickness": "Sensory_thickness", "temperature": "Temperature_C",
 }
-#: The names' version for text read off images, which has fewer of them and another one for oil.
+#: The names' version for text read off images, which has fewer of them and another one for oil; given as the difference, since the rest is the same list.
 IMAGE_NAMES = {
     k: v
     for k, v in ({**TEXT_NAMES, "oil": "Oil_Fat_type"}).items()
@@ -126,6 +126,14 @@ OUTPUTS = (
     "Viscosity_Pa_s", "d90_µm", "d50_µm", "d43_µm", "d32_µm", "Particle_size_µm", "Sensory_thickness", "Sensory_creaminess", "Sensory_smoothness", "Friction_coefficient", "Lubrication_property",
     "Sliding_speed_mm_s", "Normal_force_N",
 )
+#: Unit of each variable of the wide dataset.
+VARIABLE_UNITS = {
+    "Fat_concentration_wt%": "wt%", "Oil_concentration_wt%": "wt%", "Protein_concentration_wt%": "wt%", "Concentration_wt%": "wt%", "Temperature_C": "°C", "Homogenization_rpm": "rpm", "Pressure_MPa": "MPa",
+    "Pressure_bar": "bar", "Volume_mL": "mL", "Shear_rate_s-1": "s⁻¹", "Processing_time_s": "s", "Viscosity_Pa_s": "Pa·s", "d90_µm": "µm", "d50_µm": "µm", "d43_µm": "µm", "d32_µm": "µm",
+    "Particle_size_µm": "µm", "Sensory_thickness": "/10", "Sensory_creaminess": "/10", "Sensory_smoothness": "/10", "Friction_coefficient": "—", "Sliding_speed_mm_s": "mm/s", "Normal_force_N": "N",
+}
+#: Variables of the evaluation: (variable, factor from the collected to the extracted unit, tolerance is relative).
+EVALUATED = (("d90_µm", 1.0, True), ("Viscosity_Pa_s", 0.001, True), ("Sensory_thickness", 1.0, False), ("Sensory_creaminess", 1.0, False), ("Temperature_C", 1.0, True))
 #: Features and targets of the regressions, with the papers a target needs.
 FEATURES = ("Temperature_C", "Homogenization_rpm", "Pressure_MPa", "Fat_concentration_wt%", "Concentration_wt%", "Protein_type", "Oil_Fat_type", "Volume_mL")
 TARGETS = {"Viscosity_Pa_s": 15, "d90_µm": 15, "Sensory_thickness": 5, "Sensory_creaminess": 5, "Friction_coefficient": 5}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -31,20 +34,49 @@ def session(app: str = "mensura", cores: int | str = "*", **conf: str) -> SparkS
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the one the session names in spark.checkpoint.dir.
 
-    Only where none is named (tests on one machine) a temporary one is made.
+    Only where none is named on one machine (tests) a temporary one is made; on a cluster that is an error, as each executor
+    would write to its own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="mensura-shared-")
         spark.sparkContext.setCheckpointDir(named)
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     return named
 
 
+#: Tables that cut() wrote and that aren't deleted yet.
+_written: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that cut() wrote; what was read from them can't be read any more. Runs at the interpreter's end as well."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _clear_at_end(spark: SparkSession) -> None:
+    try:
+        clear(spark)
+    except Exception:  # noqa: BLE001
+        pass  # the session has ended before; whoever named the folder empties it
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut: written once as a table in the shared folder and read again.
 
-    It survives the loss of executors, its size is known to the planner, and unlike a checkpoint it is computed once.
+    It survives the loss of executors, its size is known to the planner, and unlike a checkpoint it is computed once. clear()
+    deletes these tables.
     """
-    path = f"{shared_folder(df.sparkSession)}/mensura-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/mensura-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.unregister(_clear_at_end)
+        atexit.register(_clear_at_end, spark)
+    _written.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

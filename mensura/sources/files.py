@@ -12,9 +12,9 @@ from mensura.operators.text import stem
 
 
 def binary_documents(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
-    """(paper, path, content) of the files of a folder."""
+    """(paper, path, content) of the files of a folder, in the paths' order."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return df.select(stem(F.col("path")).alias("paper"), "path", "content")
+    return df.select(stem(F.col("path")).alias("paper"), "path", "content").orderBy("path")
 
 
 def text_documents(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
@@ -56,7 +56,7 @@ def parsed(documents: DataFrame, parse: Callable[[bytes], list[dict]], schema: s
     A document that can't be read gives one row of nulls with the error's text; it stops nothing. For PDF words, text,
     tables and images pass a reader from mensura.sources.optional, if its library is installed.
     """
-    fields = [f.split()[0] for f in schema.split(",")]
+    fields = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -9,10 +9,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Bytes from which on a table is left as it is: it has splits enough, and moving all of it would cost more than it gains.
+LARGE = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as the session has cores, for work that is heavy per row.
 
-    A small file is one split; a large table already has enough of them and is left as it is.
+    Only small tables, which may be one split, are moved; the planner's estimate of the size decides, nothing is read.
     """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > LARGE:
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df

@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from mensura.operators import ml
 from mensura.plans import oracles, problems, reference
 
 
@@ -52,5 +53,9 @@ def test_query_equals_sql(spark, small, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted({*problems.QUERIES, *reference.QUERIES} - set(oracles.ORACLES)))
-def test_query_without_sql_runs(spark, small, name):
+def test_query_without_sql_runs(spark, small, name, monkeypatch):
+    # trees of full size take minutes here; the plans are the same with few
+    small_forest, small_boosted = ml.forest, ml.boosted
+    monkeypatch.setattr(ml, "forest", lambda *a, **kw: small_forest(*a, trees=3, depth=3))
+    monkeypatch.setattr(ml, "boosted", lambda *a, **kw: small_boosted(*a, rounds=2))
     assert {**problems.QUERIES, **reference.QUERIES}[name](spark, small).count() > 0
