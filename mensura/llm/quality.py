@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mensura.llm.codepoints import LETTER, NUMBER, OTHER, SPACE, Chunk, chunks, classes, prefix_hash, slice_hash, text_hash
+from mensura.session import cut
 from mensura.sources.tables import spread
 
 STATES = ("prose", "list", "table", "junk")
 PROSE, LIST, TABLE, JUNK = range(4)
-#: A line longer than this is labelled in parts, cut at blanks, so that unlike parts of it can have other labels.
+#: Texts without line breaks hold whole paragraphs and tables in one line: a line longer than this counts as several, cut at
+#: blanks, each of them a step of the model; none is cut off.
 PART = 120
 #: Documents on which the lines that aren't clear are labelled to refit the model: those of lowest key hash. All counts
 #: of pairs and clear lines, and everything else, run over all documents.
@@ -27,6 +29,8 @@ BUCKETS = 256
 AROUND = 3
 #: Rounds of labelling and refitting.
 ROUNDS = 4
+#: Lines of a text from which on its labels are found in blocks of so many.
+BLOCK = 512
 BREAKS = (10, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029)
 ENDS = ".!?…。！？"
 SEPARATORS = "\t|;,"
@@ -299,15 +303,68 @@ def _pieces(lines: Lines, pieces: int) -> np.ndarray:
 
 
 def viterbi(score: np.ndarray, edges: np.ndarray, transition: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Most probable states of each sequence; score[line, state], edges of the sequences. All sequences go step by step together."""
-    n, k = score.shape
+    """Most probable states of each sequence; score[line, state], edges of the sequences.
+
+    All sequences go step by step together. Sequences of more than BLOCK lines go in blocks: the best way through each block
+    from every state to every other (a max-plus product) is found for all blocks together, the blocks are put in a chain,
+    and then each one, its state before and its last state being known, is a sequence like the others.
+    """
     length = np.diff(edges)
+    first, into, last = edges[:-1], np.broadcast_to(start, (len(length), score.shape[1])), np.full(len(length), -1)
+    long = np.flatnonzero(length > BLOCK)
+    if len(long):
+        counts = -(-length[long] // BLOCK)
+        begin = np.repeat(first[long] - BLOCK * (np.cumsum(counts) - counts), counts) + BLOCK * np.arange(counts.sum())
+        size = np.minimum(BLOCK, np.repeat(edges[long + 1], counts) - begin)
+        entry, exit_ = _chain(_through(score, begin, size, transition), counts, start)
+        rows = np.where((entry < 0)[:, None], start, transition[np.maximum(entry, 0)])
+        short = np.flatnonzero(length <= BLOCK)
+        first, length = np.concatenate((first[short], begin)), np.concatenate((length[short], size))
+        into, last = np.concatenate((into[short], rows)), np.concatenate((last[short], exit_))
+    return _together(score, first, length, into, last, transition)
+
+
+def _through(score: np.ndarray, begin: np.ndarray, size: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """[block, state on entry, last state]: score of the best way through each block. Entry is the state before the block's first line;
+    state k (one more than there are) stands for a sequence's beginning, whose start is added later."""
+    k = score.shape[1]
+    best = np.concatenate((np.broadcast_to(transition, (len(begin), k, k)), np.where(np.eye(k), 0.0, -np.inf)[None].repeat(len(begin), 0)), 1) + score[begin][:, None]
+    # rows k to 2k - 1: the block begins a sequence in that state
+    for t in range(1, int(size.max())):
+        live = np.flatnonzero(size > t)
+        best[live] = (best[live][:, :, :, None] + transition[None, None]).max(2) + score[begin[live] + t][:, None]
+    return best
+
+
+def _chain(through: np.ndarray, counts: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The state before each block (-1: none, it begins a sequence) and its last state, on the best way through all blocks of each sequence."""
+    k = through.shape[2]
+    entry, exit_ = np.full(len(through), -1), np.zeros(len(through), np.int64)
+    at = 0
+    for n in counts.tolist():
+        own = through[at : at + n]
+        best, back = (start[:, None] + own[0, k:]).max(0), np.zeros((n, k), np.int64)
+        for b in range(1, n):
+            ways = best[:, None] + own[b, :k]
+            back[b], best = ways.argmax(0), ways.max(0)
+        now = int(best.argmax())
+        for b in range(n - 1, -1, -1):
+            exit_[at + b] = now
+            if b:
+                entry[at + b] = now = int(back[b, now])
+        at += n
+    return entry, exit_
+
+
+def _together(score: np.ndarray, first: np.ndarray, length: np.ndarray, into: np.ndarray, last: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """Most probable states of sequences of known first line, length, log-probabilities of the first state, and last state (-1: any)."""
+    n, k = score.shape
     order = np.argsort(-length, kind="stable")
-    length, first = length[order], edges[:-1][order]
+    length, first, into, last = length[order], first[order], into[order], last[order]
     steps = int(length[0]) if len(length) else 0
     back = np.zeros((n, k), np.int8)
     live = np.searchsorted(-length, -np.arange(1, steps + 1), "right")  # sequences with at least so many lines
-    best = score[first[: live[0]]] + start if steps else score
+    best = score[first[: live[0]]] + into[: live[0]] if steps else score
     finals = np.zeros((len(length), k))
     for t in range(1, steps):
         m = live[t]
@@ -320,7 +377,7 @@ def viterbi(score: np.ndarray, edges: np.ndarray, transition: np.ndarray, start:
         finals[: len(best)] = best
     states = np.zeros(n, np.int8)
     if steps:
-        now = finals[: live[0]].argmax(1)
+        now = np.where(last >= 0, last, finals.argmax(1))[: live[0]]
         for t in range(steps - 1, -1, -1):
             m = live[t]
             at = first[:m] + t
@@ -382,33 +439,41 @@ def _seed_counts(chunk: Chunk, words: Words, pairs: np.ndarray, letters: np.ndar
     return _label_counts(_bins(s), _seeds(lines, s), _pieces(lines, len(chunk.start)), np.ones(lines.count, bool))
 
 
-def fit(texts: Sequence[str | None], words: Words, rounds: int = ROUNDS, corpus: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+def _round(chunk: Chunk, model: Model) -> np.ndarray:
+    """Counts of the labels that the model gives the lines of a chunk that aren't clear."""
+    lines = Lines(chunk, model.words)
+    s = _statistics(lines, model.pairs, model.letters)
+    bins, seed, edges = _bins(s), _seeds(lines, s), _pieces(lines, len(chunk.start))
+    label = np.where(seed >= 0, seed, viterbi(_emit(model, bins), edges, model.transition, model.start))
+    counts = _label_counts(bins, label, edges, seed < 0)
+    counts[-1] = (seed < 0).sum()
+    return counts
+
+
+def fit(total: Callable[[Callable[[Chunk], np.ndarray], int, bool], np.ndarray], words: Words, rounds: int = ROUNDS) -> Model:
     """A model from unlabelled texts: clear lines are labelled by their kind's marks, the model is counted from them,
     labels all lines, and is counted again, a few rounds; clear lines keep their label's weight.
 
-    corpus: counts of pairs and of clear lines over all texts of which these are a sample. The texts then only give the
-    counts of lines that aren't clear, in proportion to their number in the corpus.
+    total: sums a count, of a given size, over the chunks of all texts, or (true) of a sample of them. The sample only
+    gives the counts of lines that aren't clear, in proportion to their number in all texts.
     """
-    held = list(chunks(pa.array(list(texts), pa.large_string())))
-    counts = corpus[0] if corpus else sum(_pair_counts(Lines(c, words, pairs_only=True), words) for c in held)
-    pairs, letters = _pair_scores(counts, words) if held or corpus else _pair_scores(np.zeros((len(words.hashes) + 1 + BUCKETS) ** 2 + 27 * 27), words)
-    data = []
-    for c in held:
-        ln = Lines(c, words)
-        s = _statistics(ln, pairs, letters)
-        data.append((_bins(s), _seeds(ln, s), _pieces(ln, len(c.start))))
-    clear = corpus[1] if corpus else sum((_label_counts(bins, seed, edges, np.ones(len(seed), bool)) for bins, seed, edges in data), np.zeros(sum(len(e) + 1 for e in BINS.values()) * 4 + 21))
+    n_counts = sum(len(e) + 1 for e in BINS.values()) * 4 + 21
+    pairs, letters = _pair_scores(total(lambda c: _pair_counts(Lines(c, words, pairs_only=True), words), (len(words.hashes) + 1 + BUCKETS) ** 2 + 27 * 27, False), words)
+    clear = total(lambda c: _seed_counts(c, words, pairs, letters), n_counts, False)
     model = _model(words, pairs, letters, clear)
-    scale = clear[-1] / max(sum((seed < 0).sum() for _, seed, _ in data), 1)
     for _ in range(rounds):
-        unclear = np.zeros(len(clear))
-        for bins, seed, edges in data:
-            label = np.where(seed >= 0, seed, viterbi(_emit(model, bins), edges, model.transition, model.start))
-            unclear += _label_counts(bins, label, edges, seed < 0)
-        model = _model(words, pairs, letters, clear + scale * unclear)
+        now = model
+        unclear = total(lambda c: _round(c, now), n_counts, True)
+        model = _model(words, pairs, letters, clear + clear[-1] / max(unclear[-1], 1) * unclear)
     return model
 
 
+def fit_texts(texts: Sequence[str | None], words: Words, rounds: int = ROUNDS) -> Model:
+    """The model of texts that are at hand."""
+    held = list(chunks(pa.array(list(texts), pa.large_string()), whole=True))
+    return fit(lambda count, size, _: sum((count(c) for c in held), np.zeros(size, np.int64)), words, rounds)
+
+
 FIELDS = (
     "n_chars", "n_lines", "n_words", "mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share",
     "prose_share", "list_share", "table_share", "junk_share", "kind",
@@ -420,7 +485,7 @@ def describe(texts: pa.Array, model: Model) -> list[pa.Array]:
     n = len(texts)
     sums = {k: np.zeros(n) for k in ("chars", "lines", "words", "letters", "others", "weight", "ended", "common")}
     shares = np.zeros((n, len(STATES)))
-    for chunk in chunks(texts):
+    for chunk in chunks(texts, whole=True):  # a text's chain is never cut
         lines = Lines(chunk, model.words)
         np.add.at(sums["chars"], chunk.row, chunk.end - chunk.start)
         if not lines.count:
@@ -448,7 +513,7 @@ def _summed(texts: DataFrame, count: Callable[[Chunk], np.ndarray], size: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for chunk in chunks(batch.column(0)):
+            for chunk in chunks(batch.column(0), whole=True):
                 total += count(chunk)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
@@ -461,15 +526,13 @@ def _summed(texts: DataFrame, count: Callable[[Chunk], np.ndarray], size: int) -
 
 def fit_on(df: DataFrame, key: str, text: str, words: Words, documents: int = FIT_DOCUMENTS) -> Model:
     """The model of all rows: word and letter pairs and clear lines are counted over every text. Only the lines that
-    aren't clear are labelled, in the refitting rounds, on the `documents` rows of lowest key hash, a bounded sample."""
+    aren't clear are labelled, in the refitting rounds, on the `documents` rows of lowest key hash, a bounded sample. Counts
+    of fixed size come to the driver, texts don't."""
     given = df.where(F.col(text).isNotNull())
     texts = spread(given.select(text))
-    n_pairs = (len(words.hashes) + 1 + BUCKETS) ** 2 + 27 * 27
-    counts = _summed(texts, lambda c: _pair_counts(Lines(c, words, pairs_only=True), words), n_pairs)
-    pairs, letters = _pair_scores(counts, words)
-    clear = _summed(texts, lambda c: _seed_counts(c, words, pairs, letters), sum(len(e) + 1 for e in BINS.values()) * 4 + 21)
-    rows = given.select(F.col(text).alias("t"), F.xxhash64(key).alias("h")).orderBy("h", "t").limit(documents).select("t").toArrow()
-    return fit(rows["t"].to_pylist(), words, corpus=(counts, clear))
+    sample = cut(given.select(F.col(text).alias("t"), F.xxhash64(key).alias("h")).orderBy("h", "t").limit(documents).select("t"))
+    sample = sample.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return fit(lambda count, size, some: _summed(sample if some else texts, count, size), words)
 
 
 def quality(df: DataFrame, key: str, text: str, words: Words, model: Model | None = None) -> DataFrame:
@@ -480,7 +543,8 @@ def quality(df: DataFrame, key: str, text: str, words: Words, model: Model | Non
     .!?…), common_word_share (words in the list, letter case aside); then the share of non-blank characters in lines
     that the hidden Markov model labels prose, list, table or junk, and the kind with the largest share (the first
     in this order on ties). Null, empty and blank texts have zero counts and null shares and kind. Whole texts are
-    used. Narrow: only a table that is one split is spread first.
+    used, each in one piece, so a task's memory is that of the longest text.
+    Narrow: only a table of fewer splits than cores is spread first.
     """
     model = model or fit_on(df, key, text, words)
     rows = spread(df.select(F.col(key).alias(key), F.col(text).alias("_text")))

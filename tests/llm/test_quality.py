@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from mensura.llm import quality
-from mensura.llm.quality import FIELDS, Words, describe, fit, viterbi
+from mensura.llm.quality import FIELDS, Words, describe, fit_texts, viterbi
 
 COMMON = "the of and to in a is that it was for on with as by at this were which from be not but are or an".split()
 NOUNS = "emulsion droplet panel sample texture viscosity protein cream layer phase cup week valve oven scale table".split()
@@ -41,7 +41,7 @@ def junk(rng):
 @pytest.fixture(scope="module")
 def model():
     rng = random.Random(0)
-    return fit([prose(rng) for _ in range(200)] + [f(rng) for _ in range(40) for f in (table, listing, junk)], Words.of(COMMON))
+    return fit_texts([prose(rng) for _ in range(200)] + [f(rng) for _ in range(40) for f in (table, listing, junk)], Words.of(COMMON))
 
 
 def rows(texts, model):
@@ -116,7 +116,29 @@ def test_counts_cover_all_documents(spark):
     texts = [prose(rng) for _ in range(60)] + [f(rng) for _ in range(10) for f in (table, listing, junk)] + [None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     words = Words.of(COMMON)
-    want, got = fit(texts, words), quality.fit_on(df, "doc_id", "text", words, documents=5)
+    want, got = fit_texts(texts, words), quality.fit_on(df, "doc_id", "text", words, documents=5)
     assert np.allclose(want.pairs, got.pairs) and np.allclose(want.letters, got.letters)
-    seeds, none = fit(texts, words, rounds=0), quality.fit_on(df, "doc_id", "text", words, documents=0)
+    seeds, none = fit_texts(texts, words, rounds=0), quality.fit_on(df, "doc_id", "text", words, documents=0)
     assert all(np.allclose(a, b, atol=0.3) for a, b in zip(seeds.emission, none.emission)) and np.allclose(seeds.transition, none.transition, atol=0.3)
+
+
+def test_long_texts_go_in_blocks():
+    """Texts of many lines are labelled by blocks; the ways are as good as those found line by line."""
+    rng = np.random.default_rng(3)
+    edges = np.array([0, 700, 703, 703, 2000, 2512])
+    score, move, start = rng.normal(size=(2512, 4)) * 2, np.log(rng.dirichlet([4, 1, 1, 1], 4)), np.log(rng.dirichlet([1] * 4))
+    blocks = quality.viterbi(score, edges, move, start)
+    whole = quality._together(score, edges[:-1], np.diff(edges), np.broadcast_to(start, (5, 4)), np.full(5, -1), move)
+    value = lambda p, a: start[p[0]] + move[p[:-1], p[1:]].sum() + score[a + np.arange(len(p)), p].sum()
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            assert value(blocks[a:b], a) == pytest.approx(value(whole[a:b], a))
+
+
+def test_a_very_long_text_is_one_chain():
+    rng = random.Random(4)
+    words, text = Words.of(COMMON), "\n".join(prose(rng, 1) for _ in range(25_000))
+    model = fit_texts([prose(rng) for _ in range(100)] + [table(rng) for _ in range(30)], words)
+    assert len(text) > 2_300_000
+    got = dict(zip(FIELDS, (x.to_pylist()[0] for x in describe(pa.array([text]), model))))
+    assert got["n_chars"] == len(text) and got["n_lines"] == 25_000 and got["prose_share"] > 0.95
