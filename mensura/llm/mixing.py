@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from mensura.session import cut
 
-#: Largest remaining budget that the knapsack settles; what is above is filled in proportion first.
-SPAN = 1 << 16
+#: Remaining budget that the knapsack settles first, and at most; what is above is filled in proportion.
+SPAN, MOST_SPAN = 1 << 16, 1 << 22
 #: Documents of one source and length that are ranked together; larger groups are split by their seeded hash.
 RANKED = 1000
 #: Rows of the plan (source and length) up to which it is sent to every task. There are at most
@@ -21,8 +21,25 @@ MOST_SENT = 500_000
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, span: int = SPAN) -> np.ndarray:
-    """How many documents of each length to take, at most counts, so that their sizes come as near below the budget as
-    the method finds; exact whenever the last step's knapsack can reach it.
+    """How many documents of each length to take, at most counts, so that their sizes come as near below the budget as can be.
+
+    The knapsack settles the last `span` tokens; where it can't reach the budget to the token, it is given eight times as
+    many, until it does or settles the whole budget, which is exact. Only budgets above MOST_SPAN are settled over so many
+    tokens at most.
+    """
+    best, missed, back = None, budget + 1, 0
+    while True:
+        took = _fit(lengths, counts, budget, span, back)
+        rest = min(budget, int((lengths.astype(np.int64) * counts).sum())) - int((took * lengths).sum())
+        if rest < missed:
+            best, missed = took, rest
+        if not missed or span >= min(budget, MOST_SPAN):
+            return best
+        span = back = min(span * 8, MOST_SPAN)
+
+
+def _fit(lengths: np.ndarray, counts: np.ndarray, budget: int, span: int, back: int) -> np.ndarray:
+    """fit_budget with one span; so many tokens are held back from the filling in proportion.
 
     First the same fraction of every length (rounded down), so that long and short documents keep their parts; then,
     by largest remainder, one more of a length at a time while the rest is above `span`; then a bounded knapsack
@@ -34,7 +51,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, span: int =
         return counts.copy()
     if budget <= 0 or not len(lengths):
         return np.zeros_like(counts)
-    exact = counts * (budget / total)
+    exact = counts * (max(0, budget - back) / total)
     taken = np.minimum(np.floor(exact).astype(np.int64), counts)
     rest = budget - int((taken * lengths).sum())
     while rest < 0:  # rounding of very large products
@@ -118,7 +135,7 @@ def plan(sized: DataFrame, targets: DataFrame, total: int | None = None) -> tupl
     """The mix's plan: (source, tokens, n, whole, extra) by source and exact length, and the sources' figures.
 
     whole: times that every document of the length is taken; extra: documents of it that are taken once more.
-    sized: (source, tokens) of each document; targets: (source, target_share, max_repeats), a row per source (bounded
+    sized: (source, tokens) of each document; targets: (source, target_share, max_repeats; null is once, 0 or less is never), a row per source (bounded
     by the sources that someone set targets for; more than 10,000 are an error).
     """
     wanted = targets.where("source is not null and target_share > 0").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")).limit(10_001).collect()
@@ -128,7 +145,7 @@ def plan(sized: DataFrame, targets: DataFrame, total: int | None = None) -> tupl
     names = [r.source for r in wanted]
     counted = cut(sized.where(F.col("source").isin(names) & (F.col("tokens") > 0)).groupBy("source", "tokens").agg(F.count("*").alias("n")))
     have = {r.source: int(r.t) for r in counted.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n")).alias("t")).collect()}
-    repeats = {r.source: int(r.repeats or 1) for r in wanted}
+    repeats = {r.source: 1 if r.repeats is None else max(0, int(r.repeats)) for r in wanted}
     give = budgets(have, {r.source: r.share for r in wanted}, repeats, total)
     table = {s: (give[s], have.get(s, 0), repeats[s]) for s in names}
 

@@ -73,3 +73,20 @@ def test_mix_of_nothing(spark, targets):
     assert chosen.count() == 0 and {r.actual_share for r in figures.collect()} == {0.0}
     chosen, figures = mix(none, "doc_id", targets.limit(0))
     assert chosen.count() == 0 and figures.count() == 0
+
+
+def test_repeats_of_nothing_and_null(spark):
+    """max_repeats 0 keeps a source out of the mix; null is once."""
+    targets = spark.createDataFrame([("a", 0.5, 0), ("b", 0.5, None)], "source string, target_share double, max_repeats int")
+    df = spark.createDataFrame([(i, "ab"[i % 2], 5) for i in range(10)], "doc_id long, source string, tokens long")
+    chosen, figures = mix(df, "doc_id", targets)
+    assert {(r.source, r.repeats) for r in chosen.collect()} == {("b", 1)}
+    assert {r.source: r.actual_share for r in figures.collect()} == {"a": 0.0, "b": 1.0}
+
+
+def test_a_budget_that_needs_a_wider_knapsack():
+    """Lengths whose sums leave gaps near the end: the last tokens alone can't settle the budget, more of them can."""
+    lengths, counts = np.array([6, 10, 15]), np.array([400, 400, 400])
+    for budget in (3001, 5333, 7777):
+        took = fit_budget(lengths, counts, budget, span=16)
+        assert int((took * lengths).sum()) == budget and (took <= counts).all()
