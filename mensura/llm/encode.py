@@ -164,8 +164,9 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder:
     """Encodes chunks of texts; keeps the ids of every pre-token it has merged.
 
-    Kept ids are found by the pre-token's 64-bit hash: first in a direct table, then in a dictionary. When more than
-    `most` pre-tokens are kept, they are dropped and merged anew when they come again.
+    Kept pre-tokens are found by their 64-bit hash, first in a direct table, then in a dictionary, and then compared with
+    the text's slice character by character; those that only share a hash are kept by their text. When more than `most`
+    pre-tokens are kept, they are dropped and merged anew when they come again.
     """
 
     def __init__(self, path: str, most: int = 400_000) -> None:
@@ -175,24 +176,29 @@ class Encoder:
     def _clear(self) -> None:
         self.keys, self.values = np.zeros(1 << 18, np.uint64), np.zeros(1 << 18, np.int64)
         self.known: dict[int, int] = {}
+        self.clashes: dict[str, int] = {}
         self.ids, self.used = np.empty(1 << 20, np.int32), 0
-        self.at, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.points, self.kept = np.empty(1 << 20, np.uint32), 0
+        self.count, self.at, self.size, self.from_, self.length = 0, *(np.empty(1 << 16, np.int64) for _ in range(4))
 
-    def _add(self, key: int, piece: str) -> int:
-        ids, k = merge(piece.encode(), self.ranks), len(self.known)
+    def _add(self, piece: str) -> int:
+        ids, points, k = merge(piece.encode(), self.ranks), np.frombuffer(piece.encode("utf-32-le"), np.uint32), self.count
         if k == len(self.at):
-            self.at, self.size = np.concatenate((self.at, self.at)), np.concatenate((self.size, self.size))
+            self.at, self.size, self.from_, self.length = (np.concatenate((x, x)) for x in (self.at, self.size, self.from_, self.length))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, self.ids))
+        while self.kept + len(points) > len(self.points):
+            self.points = np.concatenate((self.points, self.points))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.at[k], self.size[k], self.known[key] = self.used, len(ids), k
-        self.used += len(ids)
+        self.points[self.kept : self.kept + len(points)] = points
+        self.at[k], self.size[k], self.from_[k], self.length[k] = self.used, len(ids), self.kept, len(points)
+        self.used, self.kept, self.count = self.used + len(ids), self.kept + len(points), k + 1
         return k
 
     def _lookup(self, chunk: Chunk, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if len(self.known) > self.most:
+        if self.count > self.most:
             self._clear()
-        hashes = slice_hash(prefix_hash(chunk.points), start, end)
+        hashes = self._hash(chunk, start, end)
         slot = (hashes >> np.uint64(46)).astype(np.int64)
         found = self.values[slot]
         missed = np.flatnonzero(self.keys[slot] != hashes)
@@ -202,12 +208,32 @@ class Encoder:
             got = np.empty(len(unique), np.int64)
             for i, (key, w) in enumerate(zip(unique.tolist(), missed[where].tolist())):
                 k = self.known.get(key)
-                got[i] = self._add(key, text[start[w] : end[w]]) if k is None else k
+                if k is None:
+                    k = self.known[key] = self._add(text[start[w] : end[w]])
+                got[i] = k
             found[missed] = got[back]
             fresh = (unique >> np.uint64(46)).astype(np.int64)
             self.keys[fresh], self.values[fresh] = unique, got
+        for w in self._unlike(chunk, start, end, found).tolist():
+            piece = chunk.points[start[w] : end[w]].tobytes().decode("utf-32-le")
+            if piece not in self.clashes:
+                self.clashes[piece] = self._add(piece)
+            found[w] = self.clashes[piece]
         return found
 
+    @staticmethod
+    def _hash(chunk: Chunk, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return slice_hash(prefix_hash(chunk.points), start, end)
+
+    def _unlike(self, chunk: Chunk, start: np.ndarray, end: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Numbers of the slices (on end from the first to the last) that aren't the kept pre-token found for them."""
+        length = end - start
+        other = self.length[found] != length
+        kept = self.points.take(np.arange(start[0], end[-1]) + np.repeat(self.from_[found] - start, length), mode="clip")
+        unlike = np.flatnonzero(kept != chunk.points[start[0] : end[-1]]) + start[0]
+        other[np.searchsorted(start, unlike, "right") - 1] = True
+        return np.flatnonzero(other)
+
     def __call__(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids on end; number of ids of each piece; and of each pre-token its start in the chunk and its number of ids."""
         start = pretoken_starts(chunk)

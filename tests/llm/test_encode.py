@@ -96,3 +96,11 @@ def test_frames(spark, reference):
     assert sorted(((r.doc_id or 0, r.ids) for r in got.collect())) == sorted([(1, reference(["a b"])[0])] * 2 + [(2, []), (0, [])])
     assert encode.encode(df.limit(0), "doc_id", "text", PATH).count() == 0
     assert sorted(r.tokens for r in encode.count_tokens(df, ["doc_id"], "text", PATH).collect()) == [0, 0, 2, 2]
+
+
+def test_slices_that_share_a_hash_are_told_apart(reference, monkeypatch):
+    """Even if all pre-tokens had one hash, the ids would be right."""
+    monkeypatch.setattr(encode.Encoder, "_hash", staticmethod(lambda chunk, start, end: np.full(len(start), 7, np.uint64)))
+    enc = encode.Encoder(PATH)
+    for _ in range(2):
+        assert ids(HARD, enc) == reference(HARD)
