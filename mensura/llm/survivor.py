@@ -15,8 +15,8 @@ from mensura.session import cut
 
 #: Sources are bits of a mask; observation patterns, at most 3 ** sources of each field, go to the driver.
 MOST_SOURCES = 8
-#: A group is hot from 1/HOT of all rows (and HOT_LEAST rows) on, as one row in SAMPLE tells.
-HOT, HOT_LEAST, SAMPLE = 200, 50_000, 64
+#: A group is hot from so many rows on, as one row in SAMPLE tells.
+HOT, SAMPLE = 50_000, 64
 ROUNDS = 50
 
 
@@ -108,15 +108,14 @@ class Groups:
         return out
 
     def hot(self) -> DataFrame | None:
-        """Keys of groups that seem to hold more than 1/HOT of all rows, by one row in SAMPLE; None if there are none.
+        """Keys of groups that seem to hold more than HOT rows, by one row in SAMPLE; None if there are none.
 
-        This only decides how the work is spread; there are at most HOT such groups.
+        This only decides how the work is spread. There are as many such groups as rows / HOT at most; they are joined as any
+        table, by broadcast only if they are small.
         """
         sample = self.rows.where(F.pmod(F.xxhash64("_row"), F.lit(SAMPLE)) == 0).groupBy(*self.keys).agg(F.count("*").alias("_n"))
-        top = sample.orderBy(F.desc("_n")).limit(HOT).collect()
-        least = max(HOT_LEAST / SAMPLE, sample.agg(F.sum("_n")).first()[0] / HOT) if top else 0
-        found = [tuple(r[k] for k in self.keys) for r in top if r._n > least]
-        return self.rows.sparkSession.createDataFrame(found, self.rows.select(*self.keys).schema) if found else None
+        found = cut(sample.where(F.col("_n") * SAMPLE > HOT).select(*self.keys))
+        return None if found.isEmpty() else found
 
     def claims(self, hashed: bool = True) -> list[DataFrame]:
         """(keys, _field, _value, _gave) in parts that share no group: each distinct value of each field of each group,
@@ -137,8 +136,7 @@ class Groups:
         hot = self.hot()
         if hot is None:
             return [said(rows.repartition(*self.keys))]
-        few = F.broadcast(hot)  # at most HOT rows
-        return [said(rows.join(few, self.keys, "left_anti").repartition(*self.keys)), said(rows.join(few, self.keys, "left_semi"))]
+        return [said(rows.join(hot, self.keys, "left_anti").repartition(*self.keys)), said(rows.join(hot, self.keys, "left_semi"))]
 
     def _patterns(self, claims: DataFrame) -> DataFrame:
         """(keys, _field, _gave, _spoke, _n): a group's values that the same sources give are taken together first, so that a group is at most 2 ** sources rows."""

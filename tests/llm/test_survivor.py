@@ -50,7 +50,7 @@ def test_survivors_against_brute_force(spark, seed):
 def test_hot_groups_change_nothing(spark, monkeypatch):
     g = groups(spark.createDataFrame(data(3), SCHEMA))
     usual, fused = g.quality(), sorted(map(str, g.fused(g.quality()).collect()))
-    monkeypatch.setattr(survivor, "HOT_LEAST", 0)
+    monkeypatch.setattr(survivor, "HOT", 0)
     monkeypatch.setattr(survivor, "SAMPLE", 1)
     assert g.hot() is not None and len(g.claims()) == 2
     assert g.quality().posterior == usual.posterior
