@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -123,6 +125,14 @@ def compare(train_: DataFrame, test: DataFrame, key: str, features: Sequence[str
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def side_by_side(spark: SparkSession, work: Callable, items: Sequence) -> list:
+    """work of each item, in threads of their own: fits of small tables wait for the driver more than for the cores."""
+    if not items:
+        return []
+    with ThreadPoolExecutor(len(items)) as pool:
+        return list(pool.map(lambda x: inheritable_thread_target(spark)(work)(x), items))
+
+
 def leave_each_out(df: DataFrame, key: str, features: Sequence[str], target: str, models: Mapping[str, object]) -> DataFrame:
     """The columns of compare(), each row predicted by models of all others: a fit of every model for each row.
 
@@ -154,11 +164,10 @@ def study(df: DataFrame, key: str, features: Sequence[str], targets: Mapping[str
     Returns (target, split, model, n, rmse, mae, r2, best, importances as (feature, share), largest first, of the best one)
     and the best models' predictions (key, target, best_model, actual, predicted, abs_error).
     """
-    spark, scores, chosen = df.sparkSession, [], []
+    spark = df.sparkSession
     have = df.agg(*[F.count(t).alias(t) for t in targets]).first() if targets else {}
-    for target, least in targets.items():
-        if have[target] < max(least, 2):
-            continue
+
+    def one(target: str) -> tuple[list[tuple], DataFrame]:
         rows = cut(wide.imputed(df.where(F.col(target).isNotNull()), features).select(key, *features, target, F.coalesce(held, F.lit(False)).alias("_held")))
         parts = hold_out(rows, F.col("_held"), target)
         moments = lambda part: part.agg(F.count("*").alias("n"), F.stddev_pop(F.log1p(target)).alias("d")).first()
@@ -172,8 +181,11 @@ def study(df: DataFrame, key: str, features: Sequence[str], targets: Mapping[str
         if folder:
             save(final, f"{folder}/model_{target}")
         shares = importances(features, weights(final))
-        scores += [(target, "hold-out" if parts else "leave-one-out", r.model, r.n, r.rmse, r.mae, r.r2, r.model == best, shares if r.model == best else None) for r in metrics]
-        chosen.append(predicted.where(F.col("model") == best).select(key, "target", F.col("model").alias("best_model"), "actual", "predicted", "abs_error"))
+        scores = [(target, "hold-out" if parts else "leave-one-out", r.model, r.n, r.rmse, r.mae, r.r2, r.model == best, shares if r.model == best else None) for r in metrics]
+        return scores, predicted.where(F.col("model") == best).select(key, "target", F.col("model").alias("best_model"), "actual", "predicted", "abs_error")
+
+    parts = side_by_side(spark, one, [t for t, least in targets.items() if have[t] >= max(least, 2)])
+    scores, chosen = [s for part, _ in parts for s in part], [c for _, c in parts]
     table = spark.createDataFrame(scores, "target string, split string, model string, n bigint, rmse double, mae double, r2 double, best boolean, importances array<struct<feature: string, share: double>>")
     empty = f"`{key}` {df.schema[key].dataType.simpleString()}, target string, best_model string, actual double, predicted double, abs_error double"
     return table, functools.reduce(DataFrame.unionByName, chosen) if chosen else spark.createDataFrame([], empty)

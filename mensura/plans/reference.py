@@ -442,16 +442,18 @@ def _predicted(spark: SparkSession, folder: str, model) -> DataFrame:  # noqa: A
     given, features, targets = _modelled(spark, folder)
     have = given.agg(*[F.count(t).alias(t) for t in targets]).first()
     names = {t: "predicted_viscosity" if t == VARIABLES["Viscosity_Pa_s"] else f"predicted_{t}" for t in targets}
-    out = given.select("paper", *features)
-    for target, least in targets.items():
-        if have[target] >= least:
-            known = given.where(F.col(target).isNotNull())
-            middle = medians(known, [], {c: F.col(c) for c in features}).first().asDict()
-            fill = lambda df, m=middle: df.fillna({c: v or 0.0 for c, v in m.items()})
-            got = ml.predict(ml.train(fill(known), features, target, model), fill(given.select("paper", *features)), features, names[target])
-            out = out.join(got.select("paper", names[target]), "paper", "left")
-        else:
-            out = out.withColumn(names[target], F.lit(None).cast("double"))
+
+    def one(target: str) -> DataFrame:
+        if have[target] < targets[target]:
+            return given.select("paper", F.lit(None).cast("double").alias(names[target]))
+        known = given.where(F.col(target).isNotNull())
+        middle = {c: v or 0.0 for c, v in medians(known, [], {c: F.col(c) for c in features}).first().asDict().items()}
+        got = ml.predict(ml.train(known.fillna(middle), features, target, model.copy()), given.select("paper", *features).fillna(middle), features, names[target])
+        return got.select("paper", names[target])
+
+    out = given.select("paper")
+    for part in ml.side_by_side(spark, one, list(targets)):
+        out = out.join(part, "paper", "left")
     return out.select("paper", *names.values())
 
 
