@@ -132,3 +132,29 @@ def test_measured_values_decide(spark):
     a, b = studies(s), papers(p, measured)
     got = {r.paper: (r.study_id, r.rule) for r in link(a, b, "study_id", "paper", study_rules(), study_facts([])).collect()}
     assert got == {"v1": ("Valun2010a", "author, near year and measured values"), "v2": ("Valun2010b", "author, near year and measured values")}  # v3 has one value, which fits both a and b
+
+
+def test_frequent_runs_of_words_are_not_multiplied(spark, monkeypatch):
+    """Sixty studies and papers whose titles of twelve words differ in one: what is written grows with the records, not with the subsets of their words."""
+    words = "alginate pectin inulin gellan xanthan soy whey casein lupin potato canola".split()
+    s = [(f"A{chr(97 + i % 26)}{chr(97 + i // 26)}tun2020", " ".join([*words, f"{chr(97 + i % 26)}{chr(97 + i // 26)}zen"]), None, None) for i in range(60)]
+    p = [(f"h{i}", title, None, None, "2020") for i, (_, title, _, _) in enumerate(s)]
+    written, cut = [], linkage.cut
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(linkage, "cut", counted)
+    rules = ("near year and whole title", "near year and runs of title words")
+    assert len(linked(spark, s, p, rules, frequent=10)) == 60
+    assert sum(written) < 60 * 2 * 20
+
+
+def test_equal_records_are_judged_once(spark):
+    """Copies of a study tie, copies of a paper have one study; all papers are named."""
+    s = [*STUDIES, *[(f"Cemolik2012{chr(97 + i)}", *STUDIES[4][1:]) for i in range(3)]]
+    p = [*PAPERS, *[(f"p1{i}", *PAPERS[0][1:]) for i in range(3)]]
+    got = {r.paper: r.study_id for r in linked(spark, s, p)}
+    assert got == {"p1": "Alvarok2010", "p10": "Alvarok2010", "p11": "Alvarok2010", "p12": "Alvarok2010", "p2": "Alvarok2010b", "p3": "Berudan2015"}
