@@ -134,6 +134,18 @@ def test_measured_values_decide(spark):
     assert got == {"v1": ("Valun2010a", "author, near year and measured values"), "v2": ("Valun2010b", "author, near year and measured values")}  # v3 has one value, which fits both a and b
 
 
+def test_a_frequent_key_keeps_every_pair(spark):
+    """Ten studies of one author and year that share no word with the paper: its values tell which is meant, however soon a key is frequent."""
+    s = [(f"Valun2010{chr(97 + i)}", f"{chr(97 + i) * 3}zen {chr(97 + i) * 3}vor", float(10 * 2**i), float(40 / 2**i)) for i in range(10)]
+    a = studies(spark.createDataFrame(s, "study_id string, title_short string, fat_concentration_pct double, d90_um double").selectExpr("*", "cast(null as string) journal"))
+    p = spark.createDataFrame([("v1", "Zzzuv and zzzuw", "A. Valun", "2010")], "paper string, title_line string, author_line string, year_line string").selectExpr("*", "cast(null as string) journal_line")
+    guide = spark.createDataFrame([("Fat_concentration_wt%", "Fat"), ("d90_µm", "d90")], "variable string, label string")
+    measured = paper_values(spark.createDataFrame([("v1", "Fat", "41"), ("v1", "d90", "9.9")], "paper string, normalized_variable string, value string"), guide)
+    b = papers(p, measured)
+    for frequent in (1_000, 3):
+        assert [(r.study_id, r.paper) for r in link(a, b, "study_id", "paper", study_rules(), study_facts([]), frequent=frequent).collect()] == [("Valun2010c", "v1")]
+
+
 def test_frequent_runs_of_words_are_not_multiplied(spark, monkeypatch):
     """Sixty studies and papers whose titles of twelve words differ in one: what is written grows with the records, not with the subsets of their words."""
     words = "alginate pectin inulin gellan xanthan soy whey casein lupin potato canola".split()
