@@ -11,11 +11,12 @@ import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.operators import evaluate, wide
+from mensura.operators.trees import Forest
 from mensura.session import cut
 
 #: Training rows that one task goes over.
@@ -50,8 +51,8 @@ def ridge(alpha: float, n: int, deviation: float, features: str, label: str) ->
     return LinearRegression(featuresCol=features, labelCol=label, elasticNetParam=0.0, standardization=False, solver="normal", regParam=alpha * deviation / max(n, 1))
 
 
-def forest(features: str, label: str, trees: int = 300, depth: int = 12, seed: int = 42) -> RandomForestRegressor:
-    return RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", minInstancesPerNode=1, seed=seed)
+def forest(features: str, label: str, trees: int = 300, depth: int = 12, seed: int = 42) -> Forest:
+    return Forest(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", minInstancesPerNode=1, seed=seed)
 
 
 def boosted(features: str, label: str, rounds: int = 200, step: float = 0.05, depth: int = 3, seed: int = 42) -> GBTRegressor:

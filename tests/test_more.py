@@ -4,12 +4,13 @@ import itertools
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mensura import session
 from mensura.functions.names import ascii_column
-from mensura.operators import classify, evaluate, filters, layout, ml
+from mensura.operators import classify, evaluate, filters, layout, ml, trees
 from mensura.operators.eav import to_wide
 from mensura.operators.quantiles import beside_medians, medians
 from mensura.plans import extraction
@@ -183,3 +184,31 @@ def test_cut_tables_can_be_cleared(spark):
 
 def test_targets_are_columns():
     assert all(ascii_column(t) for t in TARGETS)
+
+
+def test_forest_grows_whole_trees_by_exact_splits(spark, tmp_path):
+    """Trees split until every label is told apart, by their own tasks; the model is kept, read again and gives the same."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 400, (600, 2)).astype(float)
+    df = spark.createDataFrame([(i, *v, float(v[0] * 3 % 97 + v[1])) for i, v in enumerate(x.tolist())], "k int, a double, b double, y double")
+    model = ml.train(df, ["a", "b"], "y", ml.forest("features", "label", trees=20, depth=30))
+    grown = model.stages[-1].trees.collect()
+    assert sorted(r.tree for r in grown) == list(range(20))
+    assert min(len(r.feature) for r in grown) > 2 * 300  # as many leaves as a bootstrap sample has labels; 32 bins a feature tell fewer apart
+    got = ml.predict(model, df, ["a", "b"]).toPandas()
+    assert len(got) == 600 and np.abs(np.log1p(got["y"]) - np.log1p(got["predicted"])).mean() < 0.2
+    ml.save(model, str(tmp_path / "forest"))
+    again = ml.predict(ml.load(spark, str(tmp_path / "forest")), df, ["a", "b"]).toPandas()
+    assert np.allclose(got.sort_values("k")["predicted"], again.sort_values("k")["predicted"])
+    assert sum(ml.weights(model)) == pytest.approx(1)
+
+
+def test_a_tree_is_the_best_of_all_splits():
+    x = np.array([[0.0, 1], [1, 0], [2, 5], [3, 4], [4, 9]])
+    y, times = np.array([1.0, 1, 5, 5, 9]), np.array([1.0, 2, 1, 0, 3])
+    ranks = np.stack([np.argsort(np.argsort(c)) for c in x.T])
+    feature, threshold, child, value, gain = trees.grow(x, ranks, np.argsort(ranks, axis=1, kind="stable"), times, times * y, times * y * y, 30)
+    assert trees.fall(x, feature, threshold, child, value).tolist() == [1, 1, 5, 5, 9]  # the fourth isn't in the sample
+    assert (feature >= 0).sum() == 2 and gain.sum() == pytest.approx((times * y * y).sum() - (times * y).sum() ** 2 / times.sum())
+    equal = trees.grow(x, ranks, np.argsort(ranks, axis=1, kind="stable"), times, times, times, 30)
+    assert equal[0].tolist() == [-1] and equal[3].tolist() == [1.0]
