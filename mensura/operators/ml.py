@@ -11,16 +11,18 @@ import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.operators import evaluate, wide
-from mensura.operators.trees import Forest
+from mensura.operators.trees import Boosted, Forest
 from mensura.session import cut
 
 #: Training rows that one task goes over.
 ROWS_A_TASK = 100_000
+#: Targets that are fitted side by side.
+AT_A_TIME = 2
 #: Rows that are left out one by one; more are an error.
 MOST_LEFT_OUT = 200
 
@@ -55,8 +57,8 @@ def forest(features: str, label: str, trees: int = 300, depth: int = 12, seed: i
     return Forest(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", minInstancesPerNode=1, seed=seed)
 
 
-def boosted(features: str, label: str, rounds: int = 200, step: float = 0.05, depth: int = 3, seed: int = 42) -> GBTRegressor:
-    return GBTRegressor(featuresCol=features, labelCol=label, maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed)
+def boosted(features: str, label: str, rounds: int = 200, step: float = 0.05, depth: int = 3, seed: int = 42) -> Boosted:
+    return Boosted(featuresCol=features, labelCol=label, maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed)
 
 
 def train(df: DataFrame, features: Sequence[str], target: str, model) -> PipelineModel:  # noqa: ANN001
@@ -127,10 +129,10 @@ def compare(train_: DataFrame, test: DataFrame, key: str, features: Sequence[str
 
 
 def side_by_side(spark: SparkSession, work: Callable, items: Sequence) -> list:
-    """work of each item, in threads of their own: fits of small tables wait for the driver more than for the cores."""
+    """work of each item, a few at a time in threads: fits of small tables wait for the driver more than for the cores, but each takes some of its memory."""
     if not items:
         return []
-    with ThreadPoolExecutor(len(items)) as pool:
+    with ThreadPoolExecutor(AT_A_TIME) as pool:
         return list(pool.map(lambda x: inheritable_thread_target(spark)(work)(x), items))
 
 

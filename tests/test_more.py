@@ -212,3 +212,17 @@ def test_a_tree_is_the_best_of_all_splits():
     assert (feature >= 0).sum() == 2 and gain.sum() == pytest.approx((times * y * y).sum() - (times * y).sum() ** 2 / times.sum())
     equal = trees.grow(x, ranks, np.argsort(ranks, axis=1, kind="stable"), times, times, times, 30)
     assert equal[0].tolist() == [-1] and equal[3].tolist() == [1.0]
+
+
+def test_boosted_trees_run_in_one_task(spark):
+    """Rounds begin at the labels' mean and each takes a step; a fit makes a handful of jobs, however many rounds."""
+    x = np.random.default_rng(3).normal(size=(80, 2))
+    df = spark.createDataFrame([(i, *v, float(np.expm1(1.0 if v[0] > 0 else 3.0))) for i, v in enumerate(x.tolist())], "k int, a double, b double, y double")
+    spark.sparkContext.setJobGroup("boosted", "")
+    got = ml.predict(ml.train(df, ["a", "b"], "y", ml.boosted("features", "label", rounds=40, step=0.05)), df, ["a", "b"]).toPandas()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("boosted")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    label, n = np.log1p(got["y"]), len(x)
+    mean = label.mean()
+    assert np.allclose(np.log1p(got["predicted"]), label + (mean - label) * 0.95**40)
+    assert len(jobs) < 40 and n == len(got)
