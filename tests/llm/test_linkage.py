@@ -1,3 +1,5 @@
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +172,39 @@ def test_equal_records_are_judged_once(spark):
     p = [*PAPERS, *[(f"p1{i}", *PAPERS[0][1:]) for i in range(3)]]
     got = {r.paper: r.study_id for r in linked(spark, s, p)}
     assert got == {"p1": "Alvarok2010", "p10": "Alvarok2010", "p11": "Alvarok2010", "p12": "Alvarok2010", "p2": "Alvarok2010b", "p3": "Berudan2015"}
+
+
+RUNS = ("near year, journal and runs of any title words", "near year and runs of any title words")
+
+
+def test_words_that_most_titles_have_make_keys(spark):
+    """Every word is in half of the titles or in most, so that each counts as a phrase's: their runs still find the sixteen papers."""
+    s = [(f"Hotun2020{chr(97 + i)}", TITLE("Effect", *x), "Dairy Fat Rep." if i % 2 else None, None) for i, x in enumerate(SLOTS)]
+    p = [(f"h{i}", TITLE("Offect", *x), None, "Dairy and Fat Reports" if i % 2 else None, "2020") for i, x in enumerate(SLOTS)]
+    a, b = frames(spark, s, p)
+    usual = usual_words([a, b])
+    assert all(share >= linkage.PHRASE for w, share in usual.items())
+    for names in (RUNS, RUNS[1:], None):
+        passes = [[r for r in group if names is None or r.name in names] for group in study_rules(usual)]
+        got = link(a, b, "study_id", "paper", [group for group in passes if group], study_facts(list(usual))).collect()
+        assert {(r.study_id, r.paper) for r in got} == {(f"Hotun2020{chr(97 + i)}", f"h{i}") for i in range(16)}
+
+
+@pytest.mark.parametrize("piece", [20_000, 3])
+def test_blocks_leave_the_pairs_that_keys_leave(spark, monkeypatch, piece):
+    """Comparing all records of a block gives the pairs and votes of a join on the keys within it, in however many pieces."""
+    monkeypatch.setattr(linkage, "PIECE", piece)
+    words = "pectin soy whey inulin gellan oil emulsions creaming viscosity fat protein gel milk water".split()
+    draw = lambda i, n: " ".join(words[(i * 5 + j * (1 + i % 3)) % 14] + ("q" if (i + j) % 11 == 0 else "") for j in range(n))
+    s = [(f"{'Hotun' if i % 3 else 'Bexil'}20{10 + i % 3}{chr(97 + i % 26)}{i}", draw(i, 3 + i % 7), "Dairy Fat Rep." if i % 2 else None, None) for i in range(90)]
+    p = [(f"h{i}", draw(i + i % 2, 2 + i % 8), "A. Hotun" if i % 4 == 0 else None, "Dairy and Fat Reports" if i % 3 else None, f"201{i % 4}, 2012") for i in range(90)] + [("none", None, None, None, None)]
+    a, b = (df.withColumn("_alike", F.when(F.hash(id_) % 7 == 0, 2).otherwise(1).cast("bigint")) for df, id_ in zip(frames(spark, s, p), ("study_id", "paper"), strict=True))
+    usual = usual_words([a, b])
+    rules = dict(enumerate(r for group in study_rules(usual) for r in group if r.name in RUNS))
+    joined = {n: dataclasses.replace(r, left=linkage._keys(r.block[0], r.left), right=linkage._keys(r.block[1], r.right), block=None) for n, r in rules.items()}
+    facts = study_facts(list(usual))
+    pairs = linkage._candidates(a, b, "study_id", "paper", joined, 100).where("_shared >= 2")
+    want = linkage._judged(pairs.join(b, "paper").join(linkage._named(a, "study_id"), "study_id"), joined, facts).select("paper", "study_id", "_rule", "_votes", "_share", (F.col("l__alike") > 1).alias("_twin"))
+    got = linkage._in_blocks(a, b, "study_id", "paper", rules, facts).collect()
+    assert len(got) > 100 and {r._rule for r in got} == {0, 1} and any(r._votes for r in got)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
