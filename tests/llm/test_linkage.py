@@ -208,3 +208,25 @@ def test_blocks_leave_the_pairs_that_keys_leave(spark, monkeypatch, piece):
     got = linkage._in_blocks(a, b, "study_id", "paper", rules, facts).collect()
     assert len(got) > 100 and {r._rule for r in got} == {0, 1} and any(r._votes for r in got)
     assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
+
+
+def test_blocks_ask_the_join_for_bits_only(spark):
+    """The planner moves no veto into the join of a block, where it would be asked of every pair instead of those whose titles' bits agree."""
+    a, b = (df.withColumn("_alike", F.lit(1).cast("bigint")) for df in frames(spark))
+    rules = dict(enumerate(r for group in study_rules() for r in group if r.name in RUNS))
+    plan = linkage._in_blocks(a, b, "study_id", "paper", rules, study_facts(["pect"]))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert any("bit_count" in line for line in joins) and "levenshtein" in plan
+    assert not any("levenshtein" in line or "array_intersect" in line for line in joins)
+
+
+def test_words_of_runs_are_worked_out_once(spark):
+    """The words without a phrase's stand once in a rule's keys, not once for each word, place and year."""
+    for rule in (r for group in study_rules({"oil": 0.5}) for r in group):
+        assert str(rule.left).count("array_except") <= 1 and str(rule.right).count("array_except") <= 1
+
+
+def test_swapped_letters_are_a_misreading(spark):
+    rows = [(["pectin"], ["pnctie"]), (["pectin"], ["pectinpectin"]), (["pectin"], ["potato"])]
+    odd = linkage.odd_words(F.col("a"), F.lit(["zzzz"]), F.col("b"), F.lit(["pect"]))
+    assert [r[0] for r in spark.createDataFrame(rows, "a array<string>, b array<string>").select(odd).collect()] == [[], ["pectin"], ["pectin"]]
