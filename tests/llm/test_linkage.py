@@ -230,3 +230,27 @@ def test_swapped_letters_are_a_misreading(spark):
     rows = [(["pectin"], ["pnctie"]), (["pectin"], ["pectinpectin"]), (["pectin"], ["potato"])]
     odd = linkage.odd_words(F.col("a"), F.lit(["zzzz"]), F.col("b"), F.lit(["pect"]))
     assert [r[0] for r in spark.createDataFrame(rows, "a array<string>, b array<string>").select(odd).collect()] == [[], ["pectin"], ["pectin"]]
+
+
+def test_shares_are_worked_out_once(spark):
+    """A pair's share of words stands once in the plan: the planner doesn't ask for it in the join and then make it again."""
+    a, b = (df.withColumn("_alike", F.lit(1).cast("bigint")) for df in frames(spark))
+    rules = dict(enumerate(study_rules()[0]))
+    pairs = linkage._candidates(a, b, "study_id", "paper", rules, 100)
+    plan = linkage._judged(pairs.join(b, "paper").join(linkage._named(a, "study_id"), "study_id"), rules, study_facts())._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("StartsWith" in line for line in plan.splitlines()) == 1
+
+
+def test_blocks_compare_keys_before_authors(spark):
+    """Pairs of a block that don't have the rule's keys are left out before the authors' veto, which isn't compiled, asks for their whole rows."""
+    a, b = (df.withColumn("_alike", F.lit(1).cast("bigint")) for df in frames(spark))
+    rules = dict(enumerate(r for group in study_rules() for r in group if r.name in RUNS))
+    plan = linkage._in_blocks(a, b, "study_id", "paper", rules, study_facts(["pect"]))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = lambda word: max(i for i, line in enumerate(plan) if word in line and "Filter" in line)  # noqa: E731  (plans are printed from the last step on)
+    assert first("array_intersect(_keys") > first("levenshtein")
+
+
+def test_plain_text_of_any_letters(spark):
+    texts = ["Emul-\nsions of MÜLLER", "Oil-Water", "Ｆａｔ µ² ﬁlm", "Но́га", "éte", "", None, "Çà-\r\n et là"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(linkage.plain(F.col("t"))).collect()]
+    assert got == ["emulsions of muller", "oil-water", "fat u2 film", "hoгa", "ete", "", None, "caet la"]
